@@ -1,0 +1,28 @@
+"""Connected components of an edge table, by minimum labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .scratch import materialize
+
+
+def connected_components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+    """(id, component): for every node of ``edges`` (a, b) the smallest id that it reaches.
+
+    Each round takes the least label of the neighbours and then the label of that label, so paths halve; every round is written to the
+    shared folder. Degrees may be as skewed as they like: the neighbours' labels are pre-aggregated by ``min`` before the shuffle.
+    """
+    both = edges.select("a", "b").where("a <> b")
+    both = materialize(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")), f"{name}-labels")
+    for _ in range(most_rounds):
+        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
+        step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        above = step.select(F.col("id").alias("component"), F.col("component").alias("above"))
+        new = materialize(step.join(above, "component").select("id", "old", F.col("above").alias("component")), f"{name}-labels")
+        labels = new.select("id", "component")
+        if not new.where("old <> component").limit(1).count():
+            return labels
+    raise RuntimeError("the component labels have not settled")
