@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import parity_join
+from . import packing, parity_join, token_records
+from .scratch import new_path
+from .tokens import vocabulary_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +19,17 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.jaccard_components(docs, k=4, threshold=parity_join.Threshold(85, 100))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-records")
+    token_records.write_records(_table(spark, sf_dir, "documents"), path, vocabulary_path("byte_bpe_50k.json"), end_id=2)
+    read = token_records.read_sequences(spark, path)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, places = packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=0, capacity=2048)
+    return places.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op5_best_fit_packing)}
 ORACLES: dict[str, str] = {}
