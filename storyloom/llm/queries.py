@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, parity_join, token_records
+from . import line_quality, packing, parity_join, token_records
 from .scratch import new_path
 from .tokens import vocabulary_path
 
@@ -26,10 +26,41 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_quality.line_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "lost_lines", "lost_words")
+    return out.select("doc_id", *(F.col(f"q_{x}").alias(x) for x in names))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, places = packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), end_id=0, capacity=2048)
     return places.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op5_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op4_line_quality, op5_best_fit_packing)}
+_PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE)
+
+ORACLES: dict[str, str] = {
+    "op4_line_quality": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^ \t-\r]+') AS ws FROM d),
+p AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+g AS (SELECT doc_id, i, a, lead(a, 1) OVER x AS b, lead(a, 2) OVER x AS c FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, c IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, a, b, c) > 1 AS again FROM g),
+v AS (SELECT doc_id, again OR coalesce(lag(again, 1) OVER x, false) OR coalesce(lag(again, 2) OVER x, false) AS inside
+      FROM r WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, count(*) FILTER (inside) AS n_repeat_words FROM v GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
+k AS (SELECT doc_id, l, len(regexp_extract_all(l, '[^ \t-\r]+')) AS nw FROM l WHERE regexp_matches(l, '[^ \t-\r]')),
+b AS (SELECT doc_id, l, nw,
+        len(regexp_extract_all(l, ' [|>»•·] ')) >= 3 OR len(regexp_extract_all(l, '[#*$%&|<>]')) * 100 > nw * 20
+        OR NOT regexp_matches(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[.!?…:;]["''”’»)\]]*$') OR {_PHRASES} AS bad FROM k),
+q AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines, count(*) FILTER (bad) AS lost_lines,
+        coalesce(sum(nw) FILTER (bad), 0)::BIGINT AS lost_words FROM b GROUP BY doc_id),
+s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ \t-\r]', '', 'g'))::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(lost_lines, 0) AS lost_lines,
+        coalesce(lost_words, 0) AS lost_words FROM w LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT *, NOT base_failed AND 100 * lost_words <= 30 * n_words AS kept FROM f""",
+}
