@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_quality, packing, parity_join, token_records
+from . import chat_format, line_quality, packing, parity_join, token_records
 from .scratch import new_path
 from .tokens import vocabulary_path
 
@@ -37,7 +37,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op4_line_quality, op5_best_fit_packing)}
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    return chat_format.digests(chat_format.format_conversations(turns, vocabulary_path("byte_bpe_50k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op4_line_quality, op5_best_fit_packing, op7_chat_format)}
 _PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE)
 
 ORACLES: dict[str, str] = {
