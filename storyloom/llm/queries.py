@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_quality, packing, parity_join, token_records
+from . import chat_format, html_extract, line_quality, packing, parity_join, token_records
 from .scratch import new_path
 from .tokens import vocabulary_path
 
@@ -44,7 +44,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns, vocabulary_path("byte_bpe_50k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op4_line_quality, op5_best_fit_packing, op7_chat_format)}
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), text_col="text")
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op4_line_quality, op5_best_fit_packing, op7_chat_format, op8_html_extract)}
 _PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE)
 
 ORACLES: dict[str, str] = {
