@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, line_quality, packing, parity_join, token_records
+from . import chat_format, html_extract, kneser_ney, line_quality, packing, parity_join, token_records
 from .scratch import new_path
 from .tokens import vocabulary_path
 
@@ -37,6 +37,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places.withColumnRenamed("id", "doc_id")
 
 
+def op6_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(kneser_ney.fold_of("doc_id", 7) != 2))
+    held_out = kneser_ney.fold_of("doc_id", 7) == 2
+    return kneser_ney.score(docs, model).withColumn("held_out", held_out).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -49,7 +56,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op4_line_quality, op5_best_fit_packing, op7_chat_format, op8_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op4_line_quality, op5_best_fit_packing, op6_kneser_ney_scores, op7_chat_format, op8_html_extract)}
 _PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE)
 
 ORACLES: dict[str, str] = {
