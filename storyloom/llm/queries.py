@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, kneser_ney, line_quality, packing, parity_join, token_records
+from . import chat_format, html_extract, kneser_ney, line_quality, packing, parity_join, token_records, toxicity
 from .scratch import new_path
 from .tokens import vocabulary_path
 
@@ -26,6 +26,14 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = kneser_ney.fold_of("doc_id", 3) == 1
+    chain = toxicity.train(docs.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.score(docs, chain)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_toxic_tokens", F.transform("spans", lambda x: F.array(x["start"], x["end"])).alias("spans"))
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_quality.line_quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "lost_lines", "lost_words")
@@ -56,7 +64,7 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op4_line_quality, op5_best_fit_packing, op6_kneser_ney_scores, op7_chat_format, op8_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_toxicity, op4_line_quality, op5_best_fit_packing, op6_kneser_ney_scores, op7_chat_format, op8_html_extract)}
 _PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE)
 
 ORACLES: dict[str, str] = {
