@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_extract, kneser_ney, line_quality, packing, parity_join, token_records, toxicity
+from . import chat_format, decontaminate, html_extract, kneser_ney, line_dedup, line_quality, packing, parity_join, token_records, toxicity
 from .scratch import new_path
 from .tokens import vocabulary_path
 
@@ -64,7 +64,16 @@ def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_toxicity, op4_line_quality, op5_best_fit_packing, op6_kneser_ney_scores, op7_chat_format, op8_html_extract)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("q_n_lines").alias("n_lines"), F.col("q_removed_lines").alias("n_removed"), "text")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_toxicity, op4_line_quality, op5_best_fit_packing, op6_kneser_ney_scores, op7_chat_format, op8_html_extract, op9_line_dedup, op10_decontaminate)}
 _PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE)
 
 ORACLES: dict[str, str] = {
