@@ -17,6 +17,7 @@ import numpy as np
 from .textops import SPACE, Words, chunks
 
 CACHE_PIECES = 1_500_000
+RECENT_PIECES = 120_000
 _LOADED: dict[str, TextEncoder] = {}
 
 _ONLY_SPACE = np.zeros(256, dtype=bool)
@@ -43,16 +44,18 @@ class TextEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[int, int] = {}  # the newest pieces; older ones are in two sorted arrays
+        self.keys, self.places, self.known = np.zeros(0, np.uint64), np.zeros(0, np.int32), 0
         self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
-        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, hashes: list[int], pieces: list[str]) -> None:
         for h, e in zip(hashes, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            ids, at = e.ids, len(self.index)
+            ids, at = e.ids, self.known
+            self.known += 1
             if at == len(self.start):
                 self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
             while self.used + len(ids) > len(self.flat):
@@ -62,6 +65,31 @@ class TextEncoder:
             self.used += len(ids)
             self.index[h] = at
 
+    def _places(self, unique: np.ndarray, piece) -> np.ndarray:
+        """Where the ids of the pieces with the sorted hashes ``unique`` are; ``piece(i)`` is the i-th one's text."""
+        if self.known > CACHE_PIECES:
+            self.clear()
+        if len(self.index) > RECENT_PIECES:
+            new = np.array(list(self.index.items()), dtype=object)
+            keys = np.concatenate([self.keys, np.array(new[:, 0], dtype=np.uint64)])
+            order = np.argsort(keys)
+            self.keys, self.places = keys[order], np.concatenate([self.places, new[:, 1].astype(np.int32)])[order]
+            self.index = {}
+        at = np.full(len(unique), -1, dtype=np.int64)
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
+            at = np.where(self.keys[i] == unique, self.places[i], at)
+        rest = np.flatnonzero(at < 0)
+        keys = unique[rest].tolist()
+        found = list(map(self.index.get, keys))
+        missing = [j for j, x in enumerate(found) if x is None]
+        for k in range(0, len(missing), 10_000):
+            part = missing[k : k + 10_000]
+            self._learn([keys[j] for j in part], [piece(rest[j]) for j in part])
+        if len(rest):
+            at[rest] = list(map(self.index.__getitem__, keys))
+        return at
+
     def _hard(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Texts that are encoded whole."""
         hard = np.zeros(len(offsets) - 1, dtype=bool)
@@ -90,16 +118,7 @@ class TextEncoder:
             led = (start > offsets[text]) & (data[np.maximum(start - 1, 0)] == 32)
             start = start - led
         unique, first, which = np.unique(words.span_hash(start, end), return_index=True, return_inverse=True)
-        if len(self.index) > CACHE_PIECES:
-            self.clear()
-        keys = unique.tolist()
-        at = list(map(self.index.get, keys))
-        new = [i for i, x in enumerate(at) if x is None]
-        if new:
-            raw = words.raw
-            self._learn([keys[i] for i in new], [raw[start[first[i]] : end[first[i]]].tobytes().decode("utf-8") for i in new])
-            at = list(map(self.index.__getitem__, keys))
-        at = np.array(at, dtype=np.int64)[which]
+        at = self._places(unique, lambda i: words.raw[start[first[i]] : end[first[i]]].tobytes().decode("utf-8"))[which]
         length = self.length[at]
         total = np.cumsum(length)
         ids = self.flat[np.repeat(self.start[at] - total + length, length) + np.arange(total[-1] if len(total) else 0)]
@@ -123,5 +142,5 @@ def vocabulary_path(name: str) -> str:
 def encoded(column, path: str) -> Iterator[tuple[int, list[np.ndarray]]]:
     """(first row, the ids of the rows from there) for an Arrow column of texts, chunk by chunk; a null text is empty."""
     enc = encoder(path)
-    for first, _, data, offsets in chunks(column, 4_000_000):
+    for first, _, data, offsets in chunks(column, 1_500_000):
         yield first, enc.encode(data, offsets)
