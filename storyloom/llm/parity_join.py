@@ -27,6 +27,9 @@ from .scratch import materialize, semi_join
 from .textops import U64, Words, as_long, chunks, distinct_shingles, mix64, runs
 
 BLOCK_BITS = 4096
+#: Buckets of at most so many members are joined with themselves; larger ones are compared in tiles.
+SMALL_BUCKET = 32
+TILE = 2048
 
 
 @dataclass(frozen=True)
@@ -174,6 +177,52 @@ def _verified(th: Threshold):
     return run
 
 
+def _tile(th: Threshold):
+    def run(table: pa.Table) -> pa.Table:
+        ids, n, component, side = (table.column(c).to_numpy() for c in ("id", "n", "component", "side"))
+        sketches = table.column("sketch").to_pylist()
+        same = {}  # sketches by width, for folding a wide one to a narrow one's width
+        for i, x in enumerate(sketches):
+            same.setdefault(len(x) // 8, []).append(i)
+        wide = {w: np.stack([np.frombuffer(sketches[i], U64) for i in rows]) for w, rows in same.items()}
+        out = [(np.zeros(0, np.int64),) * 4]
+        for w, rows in same.items():
+            rows = np.array(rows)
+            for v, others in same.items():
+                if v > w:
+                    continue
+                others, mine = np.array(others), wide[w]
+                while mine.shape[1] > v:
+                    mine = mine[:, : mine.shape[1] // 2] ^ mine[:, mine.shape[1] // 2 :]
+                for k, i in enumerate(rows):
+                    j = others[(component[others] != component[i]) & ((ids[others] < ids[i]) | (v < w)) & ((side[others] == 3) | (side[others] != side[i]))]
+                    lo, hi = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
+                    j = j[lo * th.den >= hi * th.num]
+                    at = np.searchsorted(others, j)
+                    far = np.bitwise_count(wide[v][at] ^ mine[k]).sum(axis=1)
+                    j = j[far <= th.difference(n[j], n[i])]
+                    if len(j):
+                        first = ids[j] < ids[i]
+                        out.append((np.where(first, ids[j], ids[i]), np.where(first, ids[i], ids[j]), np.where(first, n[j], n[i]), np.where(first, n[i], n[j])))
+        return pa.table(dict(zip(("a", "b", "na", "nb"), (pa.array(np.concatenate(c)).cast(t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)), strict=True)))
+
+    return run
+
+
+def _tiled(open_: DataFrame, heads: DataFrame, th: Threshold) -> DataFrame:
+    """Pairs of different components in large buckets that pass the size and Hamming bounds, compared in tiles of bounded size.
+
+    A bucket is dealt into T parts of about ``TILE`` members and each pair of parts is one tile, so no task holds more than two parts and
+    only the pairs that pass leave it as rows.
+    """
+    parts = open_.join(heads.select("id", "sketch"), "id").withColumn("t", F.ceil(F.col("members") / TILE).cast("int"))
+    parts = parts.withColumn("s", F.pmod(F.xxhash64("id", F.lit(17)), F.col("t")).cast("int"))
+    parts = parts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
+    # a tile of two parts compares across them (sides 1 and 2); a tile of one part compares all its members (side 3)
+    parts = parts.select("key", "id", "n", "component", "sketch", F.least("s", "o").alias("p"), F.greatest("s", "o").alias("q"), F.when(F.col("s") == F.col("o"), 3).when(F.col("s") < F.col("o"), 1).otherwise(2).alias("side"))
+    return parts.groupBy("key", "p", "q").applyInArrow(_tile(th), "a long, b long, na int, nb int")
+
+
 def similarity_links(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Links between distinct shingle sets, and membership.
 
@@ -205,11 +254,12 @@ def similarity_links(docs: DataFrame, k: int = 5, threshold: Threshold = Thresho
     links = verify(star, "parity-star")
     labels = connected_components(links, "parity-star")
     open_ = buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    open_ = materialize(open_.join(mixed, "key", "left_semi"), "parity-open")
-    x, y = open_.alias("x"), open_.alias("y")
+    mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("key", "members")
+    open_ = materialize(open_.join(mixed, "key"), "parity-open")
+    small = open_.where(f"members <= {SMALL_BUCKET}")
+    x, y = small.alias("x"), small.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & F.expr(f"least(x.n, y.n) * {threshold.den} >= greatest(x.n, y.n) * {threshold.num}"))
-    cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).unionByName(_tiled(open_.where(f"members > {SMALL_BUCKET}"), heads, threshold)).distinct()
     cross = cross.join(links.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(verify(cross, "parity-cross"))
     labels = connected_components(links, "parity")
