@@ -72,7 +72,7 @@ def briefs(bundle: DataFrame) -> DataFrame:
     line = lambda i: F.get("_l", F.lit(i))
     some = lambda a, n: F.nullif(F.array_join(F.slice("_l", a, n), " "), F.lit(""))
     fact = F.coalesce(line(0), F.col("title"))
-    facts = lambda n: F.transform(F.slice("_l", 1, n), trim_words)
+    facts = lambda n: F.transform(F.slice("_l", 1, n), lambda x: trim_words(x))
     out = out.withColumn("headline", F.col("title"))
     out = out.withColumn("alternate_headlines", F.filter(F.array(F.col("title"), F.when(F.col("_n") > 1, trim_words(line(1), 110)), trim_words(F.concat("title", F.lit(": what "), "attribution", F.lit(" report")), 110)), lambda x: x.isNotNull()))
     out = out.withColumn("reasoning_summary", F.concat(F.lit("Headlines composed strictly from cluster evidence attributed to "), "attribution", F.lit(".")))
