@@ -20,9 +20,11 @@ def landed_payloads(spark, path: str) -> DataFrame:
 
 
 def valid_articles(payloads: DataFrame) -> DataFrame:
-    """Normalised, valid articles of a payload stream, each content hash once within the lateness."""
+    """Normalised, valid articles, each content hash once: of a table, or of a stream within the lateness."""
     entries, _ = parse_feeds(payloads)
     articles = normalize_entries(entries).where("reject_reason is null").drop("reject_reason")
+    if not articles.isStreaming:
+        return articles.dropDuplicates(["content_hash"])
     return articles.withWatermark("fetched_at", LATENESS).dropDuplicatesWithinWatermark(["content_hash"])
 
 
