@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return parity_join.jaccard_components(docs, k=4, threshold=parity_join.Threshold(85, 100))
+    return parity_join.jaccard_components(docs, k=4, threshold=parity_join.Threshold(85, 100)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,15 @@ QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op
 _PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE)
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS ws FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, x.n + y.n AS n, count(*) AS k FROM e x JOIN e y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * k >= 85 * (n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, c.component_id FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = s.doc_id""",
     "op4_line_quality": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^ \t-\r]+') AS ws FROM d),
