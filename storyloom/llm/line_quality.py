@@ -40,36 +40,60 @@ def _words(text: Column) -> Column:
 
 
 def _n_symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", ""))
 
 
-def repeated_words(grams: Column) -> Column:
-    """How many words lie in 3-word windows that occur twice or more; ``grams`` has a hash for each window.
+_PLACE_BITS = 20
 
-    Windows are sorted by hash, those equal to a neighbour are kept, and the gaps between their sorted places say how much each covers.
-    """
-    placed = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    pairs = F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(placed), F.lit(1))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull()))))
-    gaps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(F.lit(3), b - a))
-    return F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x).cast("long")
 
+def with_repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
+    """``df`` with ``out``: how many of the ``words`` lie in 3-word windows that occur twice or more.
 
-def line_verdict(line: Column, rules: LineRules) -> Column:
-    """Why a line fails: 'punctuation', 'navigation', 'symbols', 'boilerplate', or null where it passes."""
+    A window's hash and its place share one long, so equal windows are neighbours in a primitive sort; neighbours with equal hash bits are
+    compared word by word, and the gaps between the sorted places of those that are equal say how much each covers. Texts with more words
+    than a place has bits for sort pairs of full hash and place instead. Each step is a column of its own, so it is evaluated once.
+    """
+    w, mask = F.col(words), (1 << _PLACE_BITS) - 1
+    n, i32 = F.size(w), lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+    heads = F.slice(w, 1, F.greatest(n - 2, F.lit(1)))
+    window = lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))
+    near, far = (n >= 3) & (n <= mask), n > F.greatest(F.lit(mask), F.lit(2))
+    df = df.withColumn("_near", F.when(near, F.sort_array(F.transform(heads, lambda x, i: window(x, i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))))
+    df = df.withColumn("_far", F.when(far, F.sort_array(F.transform(heads, lambda x, i: F.struct(window(x, i).alias("h"), i.alias("i"))))))
+    equal = lambda i, j: (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+    rest = lambda c: F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))
+    pairs = F.zip_with("_near", rest("_near"), lambda a, b: F.when((a.bitwiseXOR(b).bitwiseAND(F.lit(~mask)) == 0) & equal(i32(a), i32(b)), F.array(i32(a), i32(b))))
+    long_pairs = F.zip_with("_far", rest("_far"), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    some = lambda x: F.sort_array(F.array_distinct(F.flatten(F.filter(x, lambda p: p.isNotNull()))))
+    df = df.withColumn("_places", F.when(near, some(pairs)).when(far, some(long_pairs)).otherwise(F.array().cast("array<int>")))
+    gaps = F.zip_with("_places", rest("_places"), lambda a, b: F.least(F.lit(3), b - a))
+    return df.withColumn(out, F.aggregate(gaps, F.lit(0), lambda acc, x: acc + x).cast("long")).drop("_near", "_far", "_places")
+
+
+def line_verdict(line: Column, rules: LineRules, plain: bool = False) -> Column:
+    """Why a line fails: 'navigation', 'symbols', 'punctuation', 'boilerplate', or null where it passes.
+
+    ``plain`` is for lines of a text that has no separator, symbol or phrase anywhere: only the punctuation is left to test.
+    """
     n = F.size(F.split(F.btrim(line, F.lit(_WS_CHARS)), _WS))
-    lower = F.lower(line)
-    phrase = F.lit(False)
-    for p in rules.phrases:
-        phrase = phrase | F.contains(lower, F.lit(p))
+    unclosed = ~F.btrim(line, F.lit(_WS_CHARS)).rlike(rules.closing)
+    if plain:
+        return F.when(unclosed, "punctuation")
     return (
         F.when(F.regexp_count(line, F.lit(rules.separator)) >= rules.separators, "navigation")
         .when(_n_symbols(line) * 100 > n * rules.symbol_percent, "symbols")
-        .when(~F.btrim(line, F.lit(_WS_CHARS)).rlike(rules.closing), "punctuation")
-        .when(phrase, "boilerplate")
+        .when(unclosed, "punctuation")
+        .when(_has_phrase(F.lower(line), rules), "boilerplate")
     )
 
 
+def _has_phrase(lower: Column, rules: LineRules) -> Column:
+    out = F.lit(False)
+    for p in rules.phrases:
+        out = out | F.contains(lower, F.lit(p))
+    return out
+
+
 def line_quality(docs: DataFrame, rules: LineRules = LineRules(), text_col: str = "text") -> DataFrame:
     """``docs`` with the counts, the cleaned text and the verdict in added columns (named q_*, so they don't clash).
 
@@ -79,22 +103,19 @@ def line_quality(docs: DataFrame, rules: LineRules = LineRules(), text_col: str
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     df = docs.withColumn("_t", text).withColumn("_w", _words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(_WS_CHARS)) != ""))
-    w = F.col("_w")
-    df = df.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    h, n = F.col("_h"), F.size("_w")
-    two = F.zip_with(h, F.slice(h, 2, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    three = F.zip_with(two, F.slice(h, 3, F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
-    df = df.withColumn("_g", F.when(n >= 3, F.slice(three, 1, F.greatest(n - 2, F.lit(1)))))
-    repeats = F.size(F.array_distinct("_g")) < F.size("_g")
-    df = df.withColumn("q_n_words", n.cast("long"))
-    df = df.withColumn("q_word_chars", F.length(F.translate("_t", _WS_CHARS, "")).cast("long"))
+    df = df.withColumn("_low", F.lower("_t"))
+    df = df.withColumn("q_n_words", F.size("_w").cast("long"))
+    df = df.withColumn("q_word_chars", F.length(F.regexp_replace("_t", _WS, "")).cast("long"))
     df = df.withColumn("q_n_symbols", _n_symbols(F.col("_t")).cast("long"))
     df = df.withColumn("q_n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    df = df.withColumn("q_n_repeat_words", F.when(repeats, repeated_words(F.col("_g"))).otherwise(F.lit(0).cast("long")))
-    df = df.withColumn("_bad", F.filter("_lines", lambda x: line_verdict(x, rules).isNotNull()))
+    df = with_repeated_words(df, "_w", "q_n_repeat_words")
+    # the test of the whole text stands outside the lambda, so it is made once for a text and not once for a line
+    special = (F.col("q_n_symbols") > 0) | F.col("_t").rlike(rules.separator) | _has_phrase(F.col("_low"), rules)
+    failing = lambda plain: F.filter("_lines", lambda x: line_verdict(x, rules, plain).isNotNull())
+    df = df.withColumn("_bad", F.when(special, failing(False)).otherwise(failing(True)))
     df = df.withColumn("q_n_lines", F.size("_lines").cast("long")).withColumn("q_lost_lines", F.size("_bad").cast("long"))
     df = df.withColumn("q_lost_words", F.aggregate("_bad", F.lit(0), lambda acc, x: acc + F.size(_words(x))).cast("long"))
     df = df.withColumn("q_clean_text", F.when(F.size("_bad") == 0, F.col("_t")).otherwise(F.array_join(F.filter(F.split("_t", "\n"), lambda x: (F.btrim(x, F.lit(_WS_CHARS)) == "") | line_verdict(x, rules).isNull()), "\n")))
     df = df.withColumn("q_base_failed", (F.col("q_n_words") < 50) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words")))
     df = df.withColumn("q_kept", ~F.col("q_base_failed") & (100 * F.col("q_lost_words") <= rules.lost_percent * F.col("q_n_words")))
-    return df.drop("_t", "_w", "_h", "_g", "_lines", "_bad")
+    return df.drop("_t", "_w", "_low", "_lines", "_bad")
