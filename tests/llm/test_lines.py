@@ -65,7 +65,8 @@ def test_line_groups_equal_brute_force(spark):
     got = {x.id: x for x in L.line_groups(docs(spark, list(enumerate(lines)))).collect()}
     norm = [" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in lines]
     with np.errstate(over="ignore"):
-        sim = [L.simhash(L.mix64(Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])).hashes()), np.array([0]))[0] for t in norm]
+        split = [Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in norm]
+        sim = [L.line_simhash(L.mix64(w.hashes()), w.end - w.start, np.array([0]))[0] for w in split]
 
     def edit(a, b):
         d = list(range(len(b) + 1))
