@@ -238,7 +238,7 @@ def similarity_links(docs: DataFrame, k: int = 5, threshold: Threshold = Thresho
     reps = members.where("id = representative and n_shingles > 0").select("id")
     heads = materialize(sketched.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "block_keys", "sketch"), "parity-heads")
     keyed = heads.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode("block_keys").alias("key"))
-    leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("leader < last").select("key", "leader", F.col("first.n").alias("nl"))
+    leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.min_by("n", "id").alias("nl"), F.max("id").alias("last")).where("leader < last").select("key", "leader", "nl")
     buckets = materialize(keyed.join(leaders, "key").select("key", "id", "n", "leader", "nl"), "parity-buckets")
     fits = f"least(na, nb) * {threshold.den} >= greatest(na, nb) * {threshold.num}"
 
