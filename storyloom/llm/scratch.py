@@ -38,11 +38,13 @@ def local_path(path: str) -> str:
     return path
 
 
-def semi_join(big: DataFrame, keys: DataFrame, key: str, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """Rows of ``big`` whose ``key`` is in ``keys``; the keys are broadcast only if they are counted as few enough."""
+def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, marked for broadcast only if it is counted as small enough; it should be cheap to count."""
     from pyspark.sql import functions as F
 
-    keys = keys.select(key).distinct()
-    if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        keys = F.broadcast(keys)
-    return big.join(keys, key, "left_semi")
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def semi_join(big: DataFrame, keys: DataFrame, key: str, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Rows of ``big`` whose ``key`` is in ``keys``; the keys are broadcast only if they are counted as few enough."""
+    return big.join(broadcast_if_small(keys.select(key).distinct(), broadcast_rows), key, "left_semi")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import broadcast_if_small
 from .tokens import encoded
 
 NULL_ID = -(1 << 63)
@@ -120,7 +121,7 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
     totals = read_index(spark, path).groupBy("file", "part", "part_file").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("part", "part_file").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return _scan(spark, path, True).join(bases, "file").select("id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
+    return _scan(spark, path, True).join(broadcast_if_small(bases), "file").select("id", (F.col("base") + F.col("start_in_file")).alias("start"), "n_tokens", "ids")
 
 
 def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
