@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .textops import U64, Words, chunks, mix64, runs
 
@@ -30,9 +31,9 @@ _STOP[[ord(c) for c in ".!?"]] = True
 class Fit:
     """Bounds and settings of the fit: documents taken from each class, the longest text taken, hashed features, passes, smoothing."""
 
-    toxic_docs: int = 2000
-    clean_docs: int = 6000
-    doc_chars: int = 20_000
+    toxic_docs: int = 800
+    clean_docs: int = 2000
+    doc_chars: int = 6_000
     feature_bits: int = 18
     passes: int = 40
     l2: float = 1e-6
@@ -80,7 +81,7 @@ class Tokens:
 
     def features(self, bits: int) -> np.ndarray:
         """Indices into the weights, one row per kind; index 0 is kept at weight 0 for missing features."""
-        return np.stack([np.where(k == 0, 0, 1 + (k % U64((1 << bits) - 1)).astype(np.int64)) for k in self.kinds])
+        return np.stack([_indices(k, bits) for k in self.kinds])
 
 
 def _odds(e: np.ndarray, first: np.ndarray, length: np.ndarray, a: np.ndarray, start: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,8 +105,8 @@ def _odds(e: np.ndarray, first: np.ndarray, length: np.ndarray, a: np.ndarray, s
     return fw, bw, x
 
 
-def marginals(chain: Chain, tokens: Tokens) -> np.ndarray:
-    e = chain.weights[tokens.features(chain.bits)].sum(axis=0) + chain.bias
+def marginals(chain: Chain, tokens: Tokens | Sample) -> np.ndarray:
+    e = sum(chain.weights[_indices(k, chain.bits)].astype(np.float64) for k in tokens.kinds) + chain.bias
     fw, bw, _ = _odds(e, tokens.first, tokens.length, chain.trans, chain.start)
     odds = fw * bw
     return odds / (1 + odds)
@@ -121,9 +122,9 @@ def summaries(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log1p(total), top, np.log1p(1000 * total / np.maximum(count, 1))], axis=1)
 
 
-def _marked(tokens: Tokens, toxic: np.ndarray, fit: Fit) -> np.ndarray:
+def _marked(tokens: Sample, toxic: np.ndarray, fit: Fit) -> np.ndarray:
     """Which tokens of toxic documents have a word or prefix that chance alone would not put into so many toxic documents."""
-    marked = np.zeros(len(tokens.start), dtype=bool)
+    marked = np.zeros(len(tokens.text), dtype=bool)
     n_toxic, n_clean = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     share = n_toxic / (n_toxic + n_clean)
     for kind in tokens.kinds[: 1 + len(PREFIXES)]:
@@ -143,16 +144,43 @@ def _marked(tokens: Tokens, toxic: np.ndarray, fit: Fit) -> np.ndarray:
     return marked & toxic[tokens.text]
 
 
+class _Part:
+    """What is kept of a chunk's tokens; the text and its running hash are let go."""
+
+    def __init__(self, t: Tokens):
+        self.n_texts, self.text, self.first, self.length, self.kinds = t.words.n_texts, t.text, t.first, t.length, t.kinds
+
+
+class Sample:
+    """The tokens of all training texts, gathered chunk by chunk."""
+
+    def __init__(self, texts: list[str]):
+        parts = [_Part(Tokens(data, offsets)) for _, _, data, offsets in chunks(pa.array(texts, pa.string()), 500_000)]
+        rows = np.cumsum([0, *(p.n_texts for p in parts)])
+        size = np.cumsum([0, *(len(p.text) for p in parts)])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        self.text = join([p.text + a for p, a in zip(parts, rows, strict=False)])
+        self.first = join([p.first + a for p, a in zip(parts, size, strict=False)])
+        self.length = join([p.length for p in parts])
+        self.kinds = [join([p.kinds[k] for p in parts]).astype(U64) for k in range(len(PREFIXES) + 2)]
+
+    def features(self, bits: int) -> np.ndarray:
+        return np.stack([_indices(k, bits) for k in self.kinds])
+
+
+def _indices(kind: np.ndarray, bits: int) -> np.ndarray:
+    return np.where(kind == 0, 0, 1 + (kind % U64((1 << bits) - 1)).astype(np.int32)).astype(np.int32)
+
+
 def fit_chain(texts: list[str], toxic: np.ndarray, prior: float, fit: Fit = Fit()) -> Chain:
     """Fit chain and curve to whole texts with document labels; ``prior`` is the share of toxic rows among all labelled ones."""
-    column = pa.array(texts, pa.string())
-    _, _, data, offsets = next(chunks(column, 1 << 62)) if len(texts) else (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64))
-    tokens = Tokens(data, offsets)
+    tokens = Sample(texts)
     toxic = np.asarray(toxic, dtype=bool)
     y = _marked(tokens, toxic, fit).astype(np.float64)
     size = 1 << fit.feature_bits
-    f = tokens.features(fit.feature_bits).astype(np.int32)
+    f = tokens.features(fit.feature_bits)
     w, bias, log_a, start = np.zeros(size), -4.0, np.zeros((2, 2)), 0.0
+    emissions = lambda w, bias: sum(w[row] for row in f) + bias
     seq_start = np.zeros(len(y), dtype=bool)
     seq_start[tokens.first] = True
     inner = np.flatnonzero(~seq_start)
@@ -161,7 +189,7 @@ def fit_chain(texts: list[str], toxic: np.ndarray, prior: float, fit: Fit = Fit(
     m, v = np.zeros(size + 6), np.zeros(size + 6)
     for step in range(1, fit.passes + 1 if y.any() else 1):
         a = np.exp(log_a)
-        fw, bw, x = _odds(w[f].sum(axis=0) + bias, tokens.first, tokens.length, a, np.exp(start))
+        fw, bw, x = _odds(emissions(w, bias), tokens.first, tokens.length, a, np.exp(start))
         p = fw * bw / (1 + fw * bw)
         r, q = fw[inner - 1], x[inner] * bw[inner]
         cells = np.stack([np.full(len(r), a[0, 0]), a[0, 1] * q, r * a[1, 0], r * a[1, 1] * q])
@@ -184,23 +212,43 @@ def fit_chain(texts: list[str], toxic: np.ndarray, prior: float, fit: Fit = Fit(
     if y.any() and toxic.any() and not toxic.all():
         s = summaries(marginals(chain, tokens), tokens.text, len(texts))
         weight = np.where(toxic, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
-        b = chain.curve.copy()
-        for _ in range(50):  # Newton steps on the penalised likelihood
-            z = 1 / (1 + np.exp(-np.clip(s @ b, -30, 30)))
-            h = (s * (weight * z * (1 - z))[:, None]).T @ s + np.diag([1e-6, 0.1, 0.1, 0.1])
-            b = b + np.linalg.solve(h, s.T @ (weight * (toxic - z)) - np.array([0, 0.1, 0.1, 0.1]) * b)
-        chain.curve = b
+        chain.curve = _logistic(s, toxic, weight, chain.curve)
     return chain
 
 
+def _logistic(s: np.ndarray, y: np.ndarray, weight: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted logistic regression with a quadratic penalty, by Newton steps that are halved until the loss falls."""
+    penalty = np.array([1e-3, 0.3, 0.3, 0.3])
+
+    def loss(b):
+        z = s @ b
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * (penalty * b * b).sum()
+
+    at = loss(b)
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(s @ b, -30, 30)))
+        h = (s * (weight * q * (1 - q))[:, None]).T @ s + np.diag(penalty)
+        step = np.linalg.solve(h, s.T @ (weight * (y - q)) - penalty * b)
+        while (new := loss(b + step)) > at and np.abs(step).max() > 1e-9:
+            step = step / 2
+        if at - new < 1e-9:
+            break
+        b, at = b + step, new
+    return b
+
+
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Chain:
     """Fit on at most ``fit.toxic_docs`` and ``fit.clean_docs`` labelled rows, chosen by a hash of the id. Rows without a label, an id or a
     text are not used; without labels of both kinds every text gets the prior."""
     marks = labels.where(f"{id_col} is not null and {label_col} is not null").groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("_text")).where(f"_text is not null and length(_text) <= {fit.doc_chars}").join(marks, id_col)
-    some = lambda y, n: rows.where(F.col("_y") == y).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(n)
-    sample = some(1, fit.toxic_docs).unionByName(some(0, fit.clean_docs)).select("_text", "_y").collect()
+    text = F.col(text_col).cast("string")
+    short = docs.select(id_col, F.length(text).alias("_n")).where(f"_n <= {fit.doc_chars}").select(id_col).distinct().join(marks, id_col)
+    some = lambda y, n: short.where(F.col("_y") == y).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(n)
+    picked = some(1, fit.toxic_docs).unionByName(some(0, fit.clean_docs)).collect()
+    # only ids are shuffled; the picked ones are bounded by the fit, so their texts are found by a broadcast join
+    ids = docs.sparkSession.createDataFrame([(r[id_col], r["_y"]) for r in picked], T.StructType([docs.schema[id_col], T.StructField("_y", T.IntegerType())]))
+    sample = docs.select(id_col, text.alias("_text")).join(F.broadcast(ids), id_col).where(f"length(_text) <= {fit.doc_chars}").dropDuplicates([id_col]).orderBy(id_col).select("_text", "_y").collect()
     total = sum(counts.values())
     return fit_chain([r["_text"] for r in sample], np.array([r["_y"] for r in sample], dtype=bool), counts.get(1, 0) / total if total else 0.01, fit)
 
