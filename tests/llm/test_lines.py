@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from storyloom.llm import decontaminate as D
 from storyloom.llm import line_dedup as L
@@ -82,6 +83,27 @@ def test_line_groups_equal_brute_force(spark):
                 assert got[a].group == got[b].group
 
 
+def test_line_groups_hold_every_pair_of_like_lines(spark):
+    """Lines of 5 to 60 words and copies with changed, added and left out words: edit similarity alone decides, not the SimHash."""
+    r = random.Random(12)
+    lines = []
+    for i in range(60):
+        w = prose(r, (5, 7, 10, 14, 20, 30, 60)[i % 7]).split(" ")
+        lines.append(" ".join(w))
+        for _ in range(1 + len(w) // 12):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([["bedeutend"], [], [w[k], "neu"]])
+        lines.append(" ".join(w))
+    norm = [" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in lines]
+    ids = spark.createDataFrame(list(enumerate(norm)), "i int, t string")
+    pairs = ids.selectExpr("i as a", "t as x").join(ids.selectExpr("i as b", "t as y"), F.expr("a < b"))
+    near = pairs.where("levenshtein(x, y) * 100 <= 20 * greatest(length(x), length(y)) and size(split(x, ' ')) >= 5 and size(split(y, ' ')) >= 5").select("a", "b").collect()
+    assert len(near) >= 40
+    got = {x.id: x.group for x in L.line_groups(docs(spark, list(enumerate(lines)))).collect()}
+    assert not [(a, b) for a, b in near if got[a] != got[b]]
+    assert len(set(got.values())) >= 55
+
+
 def slow_tiles(p, t, least):
     """Greedy string tiling by comparing every pair of places."""
     fp, ft, total = [True] * len(p), [True] * len(t), 0
