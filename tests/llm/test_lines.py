@@ -83,7 +83,7 @@ def test_line_groups_equal_brute_force(spark):
                 assert got[a].group == got[b].group
 
 
-def test_line_groups_hold_every_pair_of_like_lines(spark):
+def test_line_groups_hold_every_pair_of_like_lines(spark, monkeypatch):
     """Lines of 5 to 60 words and copies with changed, added and left out words: edit similarity alone decides, not the SimHash."""
     r = random.Random(12)
     lines = []
@@ -99,9 +99,12 @@ def test_line_groups_hold_every_pair_of_like_lines(spark):
     pairs = ids.selectExpr("i as a", "t as x").join(ids.selectExpr("i as b", "t as y"), F.expr("a < b"))
     near = pairs.where("levenshtein(x, y) * 100 <= 20 * greatest(length(x), length(y)) and size(split(x, ' ')) >= 5 and size(split(y, ' ')) >= 5").select("a", "b").collect()
     assert len(near) >= 40
-    got = {x.id: x.group for x in L.line_groups(docs(spark, list(enumerate(lines)))).collect()}
-    assert not [(a, b) for a, b in near if got[a] != got[b]]
-    assert len(set(got.values())) >= 55
+    for small in (32, 1):  # the second time every bucket is compared in tiles
+        monkeypatch.setattr(L, "SMALL_BUCKET", small)
+        monkeypatch.setattr(L, "TILE", 2)
+        got = {x.id: x.group for x in L.line_groups(docs(spark, list(enumerate(lines)))).collect()}
+        assert not [(a, b) for a, b in near if got[a] != got[b]]
+        assert len(set(got.values())) >= 55
 
 
 def slow_tiles(p, t, least):
