@@ -48,6 +48,14 @@ def test_main_text():
     assert main_text("<p>" + "a" * 500_000 + "</p>") == "a" * 500_000
 
 
+def test_small_regions_and_link_lines_of_unmarked_pages():
+    furniture = "<div class='ad'><p>a</p><p>b</p><p>c</p></div>"
+    body, end = "long text " * 30, "The end."
+    page = f"<ul><li><a href=x>menu</a></li></ul><div><p>{body}</p>{furniture}<p>{end}</p><p><a href=y>Source of the claim</a></p><p>Corrected.</p></div><ul><li><a href=z>more</a></li></ul>"
+    assert main_text(page) == "\n\n".join([body.strip(), end, "Source of the claim", "Corrected."])
+    assert main_text(page.replace("<div><p>", "<main><p>").replace("</div><ul>", "</main><ul>")) == main_text(page)
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "old"), (2, None, None, "old"), (2, None, None, "old")], "page_id long, url string, html string, main_text string")
     got = extract_main_text(df).collect()
