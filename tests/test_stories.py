@@ -120,6 +120,30 @@ def test_leader_pass_equals_the_sequential_pass(spark):
     assert got == want
 
 
+def test_leader_pass_names_targets_and_loads_no_group(spark):
+    """A title that half of the rows share, hashes and URLs that cross it and null keys: every target and reason, without a group in one task."""
+    r = random.Random(8)
+    hot, rows = "bank rates storm floods council transit vote", []
+    for i in range(1, 161):
+        w = hot.split()
+        if i % 2:
+            w = r.sample(WORDS, 7)
+        elif i % 3 == 0:
+            w.append(r.choice(WORDS))
+        rows.append((i, " ".join(w), r.choice(["h1", None, f"h{i}", f"h{i}"]), r.choice([None, f"u{r.randrange(60)}"])))
+    out = dedup.leader_pass(spark.createDataFrame(rows, "id long, title string, content_hash string, canonical_url string"))
+    assert "Pandas" not in out._jdf.queryExecution().toString()
+    got = {x.id: (x.duplicate_of_id, x.reason) for x in out.collect()}
+    stored, want = [], {}
+    for i, title, h, u in rows:
+        t = set(title.split())
+        hits = [[j for j, _, g, _ in stored if h and g == h], [j for j, _, _, v in stored if u and v == u], [j for j, s, _, _ in stored if 100 * len(t & s) >= 85 * len(t | s)]]
+        want[i] = next(((max(x), n) for x, n in zip(hits, ("hash", "url", "title"), strict=True) if x), (None, None))
+        if want[i][0] is None:
+            stored.append((i, t, h, u))
+    assert got == want and len(got) == 160
+
+
 def test_prefix_filter_finds_all_pairs(spark):
     r = random.Random(1)
     sets = {i: sorted(r.sample(WORDS, r.randint(1, 8))) for i in range(120)}
