@@ -93,7 +93,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
 
 
 def _seeds(rule: TilingRule, bits: np.ndarray | None):
-    """Distinct (id, seed) of texts; with ``bits`` only those that the filter lets through."""
+    """Distinct (id, seed) of texts and how often the text has it; with ``bits`` only those that the filter lets through."""
 
     def run(batches):
         for batch in batches:
@@ -113,7 +113,8 @@ def _seeds(rule: TilingRule, bits: np.ndarray | None):
                 new[1:] = (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])
                 ids = batch.column(0)[first:last].take(pa.array(text[new]))
                 n = words.n_words[text[new]].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(as_long(seed[new])), pa.array(n)], names=["id", "seed", "n_words"])
+                times = np.diff(np.append(np.flatnonzero(new), len(seed)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(as_long(seed[new])), pa.array(n), pa.array(times.astype(np.int64))], names=["id", "seed", "n_words", "times"])
 
     return run
 
@@ -147,16 +148,17 @@ def tiled_matches(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = Tili
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null").dropDuplicates(["item"])
-    seeds = materialize(items.mapInArrow(_seeds(rule, None), "id long, seed long, n_words long").select(F.col("id").alias("item"), "seed", "n_words"), "item-seeds")
+    seeds = materialize(items.mapInArrow(_seeds(rule, None), "id long, seed long, n_words long, times long").select(F.col("id").alias("item"), "seed", "n_words", "times"), "item-seeds")
     place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
     words = seeds.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 as int))")).alias("b")).collect()
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=U64)
     for r in words:  # at most 2**19 words
         bits[r["w"]] = np.int64(r["b"]).astype(U64)
     shared = spark.sparkContext.broadcast(bits)
-    hits = rows.mapInArrow(_seeds(rule, shared), "id long, seed long, n_words long").select("id", "seed")
+    hits = rows.mapInArrow(_seeds(rule, shared), "id long, seed long, n_words long, times long").select("id", "seed")
+    # a shared seed counts as often as the item has it: tiles may cover all its places
     enough = f"n_shared * {rule.min_match} * 100 >= {rule.coverage_percent} * n_words"
-    pairs = hits.join(seeds, "seed").groupBy("id", "item").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_words").alias("n_words")).where(enough)
+    pairs = hits.join(seeds, "seed").groupBy("id", "item").agg(F.sum("times").alias("n_shared"), F.first("n_words").alias("n_words")).where(enough)
     pairs = materialize(pairs.select("id", "item"), "tiling-pairs")
     listed = pairs.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "text")).alias("items"))
     wanted = semi_join(rows, pairs, "id").dropDuplicates(["id", "text"]).join(listed, "id").select("id", "text", "items")

@@ -161,3 +161,13 @@ def test_decontaminate(spark):
     assert {x.doc_id for x in kept.collect()} == {1, 4, 5, 6, 7, None}
     assert not any(x.contaminated for x in D.decontaminate(docs(spark, rows), bench.limit(0)).collect())
     assert D.decontaminate(docs(spark, []), bench).count() == 0
+
+
+def test_decontaminate_finds_repetitive_items(spark):
+    """Ten times one phrase of four words has four distinct seeds, but tiles cover all its words."""
+    r = random.Random(8)
+    item = " ".join(["row your boat gently"] * 10)
+    rows = [(1, f"{prose(r, 20)} {item} {prose(r, 20)}"), (2, prose(r, 80)), (3, f"{prose(r, 20)} row your boat gently row {prose(r, 20)}")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {x.doc_id: (x.contaminated, x.coverage_percent) for x in D.decontaminate(docs(spark, rows), bench).collect()}
+    assert got[1] == (True, 100.0) and not got[2][0] and not got[3][0]
