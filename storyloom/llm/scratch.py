@@ -48,3 +48,18 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
 def semi_join(big: DataFrame, keys: DataFrame, key: str, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Rows of ``big`` whose ``key`` is in ``keys``; the keys are broadcast only if they are counted as few enough."""
     return big.join(broadcast_if_small(keys.select(key).distinct(), broadcast_rows), key, "left_semi")
+
+
+def broadcast_if_light(df: DataFrame, row_bytes, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df``, marked for broadcast only if ``row_bytes`` (a column) sums to no more than ``most_bytes``; it should be cheap to scan."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes)).first()[0] or 0) <= most_bytes else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with a prefix that makes them differ from every column of ``df``."""
+    taken, prefix = [c.lower() for c in df.columns], "q_"
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return [prefix + n for n in names]

@@ -54,33 +54,70 @@ def test_line_dedup(spark):
 
 
 def test_line_groups_equal_brute_force(spark):
-    """All pairs of distinct normalised lines within the SimHash distance and the edit similarity are in one group."""
-    from storyloom.llm.textops import Words
-
+    """Groups and the lines that stay are those of all pairs of distinct lines with the edit similarity: like lines together, others apart."""
     r = random.Random(9)
     lines = [prose(r, 25) for _ in range(15)]
     for i in range(25):
         w = lines[i % 15].split(" ")
         w[r.randrange(25)] = r.choice(["neu", w[0]])
         lines.append(" ".join(w))
+    lines += [lines[3], lines[3].upper()]
     got = {x.id: x for x in L.line_groups(docs(spark, list(enumerate(lines)))).collect()}
-    norm = [" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in lines]
-    with np.errstate(over="ignore"):
-        split = [Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])) for t in norm]
-        sim = [L.line_simhash(L.mix64(w.hashes()), w.end - w.start, np.array([0]))[0] for w in split]
-
-    def edit(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
-        return d[-1]
-
+    norm = [L.normal_line(t) for t in lines]
+    assert norm == [" ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) for t in lines]
+    group = list(range(len(lines)))
     for a in range(len(lines)):
         for b in range(a):
-            if int(sim[a] ^ sim[b]).bit_count() <= 3 and edit(norm[a], norm[b]) * 100 <= 20 * max(len(norm[a]), len(norm[b])):
-                assert got[a].group == got[b].group
+            if slow_edits(norm[a], norm[b]) * 100 <= 20 * max(len(norm[a]), len(norm[b])):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    for a in range(len(lines)):
+        assert got[a].keep == (group[a] == a)
+        assert all((got[a].group == got[b].group) == (group[a] == group[b]) for b in range(a))
+
+
+def slow_edits(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            last, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, last + (x != y))
+    return d[-1]
+
+
+def test_edit_distance_and_alike():
+    r = random.Random(4)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ab é") for _ in range(r.randint(0, 90))) for _ in range(2))
+        if r.random() < 0.6:
+            b = a[: len(a) // 3] + b[: r.randint(0, 6)] + a[len(a) // 3 + r.randint(0, 6) :]
+        assert L.edit_distance(a, b) == slow_edits(a, b)
+        assert L.alike(a, b, 80) == (slow_edits(a, b) <= max(len(a), len(b)) * 20 // 100)
+
+
+def test_simhash_of_long_runs():
+    r = np.random.default_rng(3)
+    h = r.integers(0, 1 << 64, 4000, dtype=np.uint64)
+    first = np.array([0, 1, 255, 256, 511, 900, 1700])
+    with np.errstate(over="ignore"):
+        got = L.simhash(h, first)
+        for part, x in zip(got, (h, L.mix64(h ^ L.STEP)), strict=True):
+            for i, (a, b) in enumerate(zip(first, [*first[1:], len(h)], strict=True)):
+                assert int(part[i]) == sum(1 << k for k in range(64) if 2 * sum(int(v) >> k & 1 for v in x[a:b]) > b - a)
+
+
+def test_line_dedup_of_odd_tables(spark):
+    """Clashing columns, repeated ids, one very long line and a text of many lines."""
+    r = random.Random(6)
+    line, long_, many = prose(r, 30), prose(r, 30000), "\n".join(prose(r, 8) for _ in range(3000))
+    rows = [(1, line), (1, line), (2, f"x\n{line}\n{line}"), (3, long_), (4, long_ + " ende"), (5, many), (6, "\n" + many), (7, "  \n\t")]
+    df = docs(spark, rows).selectExpr("doc_id", "text", "1 as id", "2 as _id", "3 as gone", "4 as key", "5 as line", "6 as q_gone", "7 as at", "8 as said", "9 as bucket")
+    out = L.dedup_lines(df)
+    assert out.columns == [*df.columns, "q_n_lines", "q_removed_lines"]
+    got = {x.doc_id: x for x in out.collect()}
+    assert out.where("doc_id = 1 and text is not null").count() == 2 and got[1].text == line
+    assert got[2].text == "x" and got[2].q_removed_lines == 2 and (got[2]._id, got[2].gone, got[2].q_gone) == (2, 3, 6)
+    assert got[3].text == long_ and got[4].text == ""
+    assert got[6].text == "" and got[6].q_n_lines == 3001 and got[7].text == "  \n\t"
 
 
 def test_line_groups_hold_every_pair_of_like_lines(spark, monkeypatch):
