@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, semi_join
+from .scratch import materialize, semi_join, unused
 from .textops import LOWER, U64, Words, as_long, chunks, mix64
 
 #: Bits of the seed filter: 4 MB however many items there are; a full filter only lets more possible seeds through to the exact join.
@@ -173,14 +173,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = Tili
     """
     found = tiled_matches(docs, benchmark, rule, id_col, text_col, item_col, item_text_col)
     reached = F.col("covered_words") * 100 >= rule.coverage_percent * F.col("item_words")
-    per = found.groupBy(F.col("id").alias("_id")).agg(F.max(100.0 * F.col("covered_words") / F.col("item_words")).alias("_c"), F.sort_array(F.collect_set(F.when(reached, F.col("item")))).alias("_i"))
+    ids = docs.select(id_col)
+    key, share, items = unused(ids, "id", "share", "items")
+    per = found.groupBy(F.col("id").alias(key)).agg(F.max(100.0 * F.col("covered_words") / F.col("item_words")).alias(share), F.sort_array(F.collect_set(F.when(reached, F.col("item")))).alias(items))
     per = materialize(per, "tiling-found")
-    out = docs.select(id_col).join(per, docs[id_col].cast("long") == F.col("_id"), "left")
-    return out.select(id_col, F.coalesce(F.size("_i") > 0, F.lit(False)).alias("contaminated"), F.coalesce("_c", F.lit(0.0)).alias("coverage_percent"), F.coalesce("_i", F.array().cast("array<bigint>")).alias("item_ids"))
+    out = ids.join(per, ids[id_col].cast("long") == F.col(key), "left")
+    return out.select(id_col, F.coalesce(F.size(items) > 0, F.lit(False)).alias("contaminated"), F.coalesce(share, F.lit(0.0)).alias("coverage_percent"), F.coalesce(items, F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = TilingRule(), id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that are contaminated."""
+    """``docs`` without the rows that are contaminated; columns of any names stay as they are."""
+    (key,) = unused(docs, "gone")
     found = tiled_matches(docs, benchmark, rule, id_col).where(F.col("covered_words") * 100 >= rule.coverage_percent * F.col("item_words"))
-    gone = materialize(found.select(F.col("id").alias("_gone")).distinct(), "contaminated")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    gone = materialize(found.select(F.col("id").alias(key)).distinct(), "contaminated")
+    return docs.join(gone, docs[id_col].cast("long") == F.col(key), "left_anti")

@@ -108,7 +108,7 @@ def _pair_range(folder: str, bits: int):
         total = np.add.reduceat(count[order].astype("<u8"), first)
         keys, context, word = keys[first], context[first], word[first]
         of = table.column("range")[0].as_py()
-        _save(folder, f"pair-{of}", keys=keys, count=np.minimum(total, 2**32 - 1).astype("<u4"))
+        _save(folder, f"pair-{of}", keys=keys, count=total)
         order = np.argsort(context, kind="stable")
         first = runs(context[order])
         t = total[order]
@@ -178,8 +178,8 @@ def train(docs: DataFrame, text_col: str = "text", path: str | None = None) -> M
         for batch in batches:
             for of in batch.column(0).to_pylist():
                 name = f"{folder}/pair-{of}.count.npy"
-                count = np.load(name, mmap_mode="r") if os.path.exists(name) else np.zeros(0, "<u4")
-                few = np.bincount(count[count < 5], minlength=5)
+                count = np.load(name, mmap_mode="r") if os.path.exists(name) else np.zeros(0, "<u8")
+                few = np.bincount(count[count < 5].astype(np.int64), minlength=5)
                 yield pa.RecordBatch.from_pydict({f"n{k}": [int(few[k])] for k in (1, 2, 3, 4)})
 
     n = spark.range(1 << bits).mapInArrow(frequencies, "n1 long, n2 long, n3 long, n4 long").groupBy().sum().first()

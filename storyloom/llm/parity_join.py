@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize, semi_join
+from .scratch import materialize, semi_join, unused
 from .textops import U64, Words, as_long, chunks, distinct_shingles, mix64, runs
 
 BLOCK_BITS = 4096
@@ -34,11 +34,15 @@ TILE = 2048
 
 @dataclass(frozen=True)
 class Threshold:
-    """Jaccard similarity of at least num/den, in whole numbers."""
+    """Jaccard similarity of at least num/den, in whole numbers; at least one half, so that similar sets lie in one or two size bands."""
 
     num: int = 80
     den: int = 100
 
+    def __post_init__(self) -> None:
+        if not 0 < self.den <= 2 * self.num <= 2 * self.den:
+            raise ValueError(f"the similarity {self.num}/{self.den} is not between one half and one")
+
     def difference(self, a, b):
         """The largest symmetric difference of similar sets of sizes a and b."""
         return (self.den - self.num) * (a + b) // (self.den + self.num)
@@ -282,5 +286,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Threshold = Thres
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(), id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose component has a smaller id; rows with a null id or without words stay."""
-    gone = jaccard_components(docs, k, threshold, id_col).where(f"component_id <> {id_col}").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    (gone,) = unused(docs, "gone")
+    found = jaccard_components(docs, k, threshold, id_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone))
+    return docs.join(found, docs[id_col].cast("long") == F.col(gone), "left_anti")

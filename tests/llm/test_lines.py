@@ -208,3 +208,24 @@ def test_decontaminate_finds_repetitive_items(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = {x.doc_id: (x.contaminated, x.coverage_percent) for x in D.decontaminate(docs(spark, rows), bench).collect()}
     assert got[1] == (True, 100.0) and not got[2][0] and not got[3][0]
+
+
+def test_decontaminate_of_odd_tables(spark):
+    """Clashing columns, repeated ids, a very long text and repeated items."""
+    r = random.Random(10)
+    item, long_ = prose(r, 40), prose(r, 40000)
+    rows = [(1, item), (1, item), (2, f"{long_} {item}"), (3, long_)]
+    df = docs(spark, rows).selectExpr("*", "1 as _gone", "2 as _id", "3 as id", "4 as item", "5 as q_gone", "6 as contaminated")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item), (None, item)], "item_id long, text string").selectExpr("*", "1 as doc_id", "2 as seed")
+    kept = D.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and [x.doc_id for x in kept.collect()] == [3]
+    got = D.decontaminate(df, bench).collect()
+    assert sorted((x.doc_id, x.contaminated, tuple(x.item_ids)) for x in got) == [(1, True, (1, 2)), (1, True, (1, 2)), (2, True, (1, 2)), (3, False, ())]
+
+
+def test_line_quality_keeps_clashing_columns(spark):
+    df = docs(spark, [(1, "a b c.\n" * 30)]).selectExpr("doc_id", "text", "1 as _t", "2 as _w", "3 as _near", "4 as q_t", "5 as q_near", "6 as _low")
+    out = Q.line_quality(df)
+    row = out.first()
+    assert out.columns[: len(df.columns)] == df.columns and (row._t, row._w, row._near, row.q_t, row.q_near, row._low) == (1, 2, 3, 4, 5, 6)
+    assert row.q_n_words == 90 and row.q_n_repeat_words == 90

@@ -51,3 +51,16 @@ def test_edge_tables(spark):
     assert {r.doc_id: r.component_id for r in parity_join.jaccard_components(rows).collect()} == {1: 1, 2: 2, 3: 2}
     kept = parity_join.drop_near_duplicates(rows)
     assert kept.columns == rows.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "None"]
+
+
+def test_thresholds_below_one_half_are_refused():
+    for num, den in ((30, 100), (49, 100), (101, 100), (0, 1)):
+        with pytest.raises(ValueError):
+            parity_join.Threshold(num, den)
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = docs(spark, [(1, text), (2, text), (2, text), (3, None), (None, text)]).selectExpr("*", "1 as gone", "2 as q_gone", "3 as _gone", "4 as id", "5 as component_id")
+    out = parity_join.drop_near_duplicates(df)
+    assert out.columns == df.columns and sorted((r.doc_id or -1) for r in out.collect()) == [-1, 1, 3]
