@@ -2,31 +2,63 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .vocabulary import CLUSTER_STOP_WORDS, TRACKING_PARAMS
 
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 WORD_RUN = r"[\p{L}\p{N}_]{3,}"
 NUMBER = r"\b\d[\d,\.]*%?\b"
 DATE = r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4}\b|\b\d{4}-\d{2}-\d{2}\b"
-#: Character references that feeds use, decoded in this order; the ampersand comes last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&amp;", "&"))
+#: A tag, comment end or declaration; another "<" is text.
+TAG = r"<[a-zA-Z/!?][^>]*>"
 
 
 def words_array(values: Iterable[str]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def _code_point(code: Column) -> Column:
+    """The character of a code point; the replacement character where there is none."""
+    bad = (code == 0) | (code > 0x10FFFF) | ((code >= 0xD800) & (code <= 0xDFFF))
+    return F.when(bad | code.isNull(), F.lit("\ufffd")).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def unescape_html(text: Column) -> Column:
+    """``text`` with its character references decoded once: decimal, hexadecimal and all names that HTML defines, the old ones without ";" too."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+    def decoded(part: Column) -> Column:
+        """What stood behind an ampersand, with the reference at its start decoded."""
+        number = F.regexp_extract(part, r"^#(?:([0-9]+)|[xX][0-9a-fA-F]+);?", 1)
+        figure = F.regexp_extract(part, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        code = F.when(number != "", F.substring(number, 1, 12).cast("long")).otherwise(F.conv(F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,12})", 1), 16, 10).cast("long"))
+        name = F.regexp_extract(part, r"^[a-zA-Z][a-zA-Z0-9]{0,31};", 0)
+        short = F.regexp_extract(part, f"^(?:{old})", 0)
+        rest = lambda ref: F.substr(part, F.length(ref) + 1)
+        return (
+            F.when(figure != "", F.concat(_code_point(code), rest(figure)))
+            .when((name != "") & F.element_at(names, name).isNotNull(), F.concat(F.element_at(names, name), rest(name)))
+            .when(short != "", F.concat(F.element_at(names, short), rest(short)))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    parts = F.split(text, "&", -1)
+    whole = F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def clean_html(raw: Column) -> Column:
     """Plain text of an HTML fragment: script, style, iframe and noscript go with their content, tags become spaces."""
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<(script|style|iframe|noscript)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
-    for ref, char in ENTITIES:
-        text = F.replace(text, F.lit(ref), F.lit(char))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), TAG, " ")
+    return F.regexp_replace(F.regexp_replace(unescape_html(text), r"[\s\x{A0}]+", " "), "^ | $", "")
 
 
 def canonical_url(url: Column, tracking: Iterable[str] = TRACKING_PARAMS) -> Column:
@@ -49,11 +81,32 @@ def content_hash(title: Column, url: Column) -> Column:
 
 
 def parse_time(raw: Column, fallback: Column) -> Column:
-    """UTC time of RFC 822 and ISO 8601 strings; naive times are UTC, and what cannot be read is ``fallback``."""
-    s = F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"^\s*[A-Za-z]{3,9}\.?,\s*", ""))
-    s = F.regexp_replace(s, r"\s+(GMT|UTC|UT)$", " +0000")
-    formats = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
-    return F.coalesce(*(F.try_to_timestamp(s, F.lit(f)) for f in formats), fallback)
+    """UTC time of the date spellings that feeds use; what cannot be read is ``fallback``.
+
+    Read are ISO 8601 and days, months' names and years in either order, with a weekday or without, years of two digits (those within fifty
+    years of ``fallback``), 12 and 24 hours, fractions of a second, and offsets with or without a space and a colon. Times without an offset are UTC,
+    and so are those with a zone's name, as names other than UTC, GMT and Z don't tell an offset.
+    """
+    s = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
+    iso, day_first, month_first = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?![\d])(.*)$", r"^(\d{1,2})(?:st|nd|rd|th)?[\s-]+([A-Za-z]{3,9})\.?,?[\s-]+(\d{4}|\d{2})(?!\d)(.*)$", r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?!\d)(.*)$"
+    parts = F.split(
+        F.when(s.rlike(iso), F.regexp_replace(s, iso, "$1~$2~$3~$4")).when(s.rlike(day_first), F.regexp_replace(s, day_first, "$3~$2~$1~$4")).when(s.rlike(month_first), F.regexp_replace(s, month_first, "$3~$1~$2~$4")),
+        "~",
+    )
+    year, month, day, rest = (F.get(parts, i) for i in range(4))
+    spelled = F.nullif(F.array_position(words_array(MONTHS), F.lower(F.substring(month, 1, 3))), F.lit(0))
+    month = F.when(month.rlike("^[0-9]+$"), month.cast("int")).otherwise(spelled.cast("int"))
+    now = F.coalesce(F.year(fallback), F.lit(2000))
+    near = now - F.pmod(now, F.lit(100)) + year.cast("int")
+    year = F.when(F.length(year) == 4, year.cast("int")).when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
+    clock = r"^[T,\s]*(?:(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([AaPp](?=\.?[Mm]))?(?:\.?[Mm]\.?)?)?\s*(?:(?:[A-Za-z]{1,5})?\s*(?:([+-])(\d{2}):?(\d{2})?)?)?(?:\s*\([A-Za-z ]+\))?\s*$"
+    got = lambda i, default: F.when(F.regexp_extract(rest, clock, i) == "", F.lit(default)).otherwise(F.regexp_extract(rest, clock, i))
+    hour, half = got(1, "0").cast("int"), F.lower(got(5, ""))
+    hour = F.when(half == "", hour).otherwise(F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0))
+    local = F.format_string("%04d-%02d-%02d %02d:%s:%s.%s", year, month, day.cast("int"), hour, got(2, "00"), got(3, "00"), F.rpad(F.substring(got(4, "0"), 1, 6), 6, "0"))
+    offset = F.concat(got(6, "+"), got(7, "00"), F.lit(":"), got(8, "00"))
+    time = F.try_to_timestamp(F.concat(local, offset), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSxxx"))
+    return F.coalesce(F.when(rest.rlike(clock) & month.isNotNull(), time), fallback)
 
 
 def title_tokens(title: Column) -> Column:

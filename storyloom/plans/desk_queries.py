@@ -31,9 +31,10 @@ def normalized_pages(spark, sf_dir):
 
 
 def parsed_times(spark, sf_dir):
-    """Event times written as RFC 822, ISO 8601 and broken strings, and read back."""
+    """Event times written in eight spellings of RFC 822, ISO 8601 and prose, one of them broken, and read back."""
     e = model.table(spark, sf_dir, "events").select("event_id", F.expr("cast(ts as timestamp)").alias("t"))
-    raw = F.when(F.col("event_id") % 4 == 0, F.date_format("t", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(F.col("event_id") % 4 == 1, F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'+01:00'")).when(F.col("event_id") % 4 == 2, F.date_format("t", "yyyy-MM-dd HH:mm:ss")).otherwise("soon")
+    spellings = ("EEE, dd MMM yyyy HH:mm:ss 'GMT'", "yyyy-MM-dd'T'HH:mm:ss'+01:00'", "yyyy-MM-dd HH:mm:ss", "'soon'", "EEE, d MMM yy HH:mm:ss 'EST'", "MMMM d, yyyy", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'", "d MMM yyyy h:mm a")
+    raw = F.coalesce(*(F.when(F.col("event_id") % 8 == i, F.date_format("t", f)) for i, f in enumerate(spellings)))
     fallback = F.lit("2024-01-05 00:00:00").cast("timestamp")
     return e.select("event_id", F.unix_seconds(X.parse_time(raw, fallback)).alias("epoch_s"))
 
@@ -275,15 +276,16 @@ QUERIES = {f.__name__: f for f in (
 
 
 def _decode(sql: str) -> str:
-    for ref, char in X.ENTITIES:
-        sql = "replace({}, '{}', '{}')".format(sql, ref.replace("'", "''"), char.replace("'", "''"))
-    return sql
+    """The references that occur in the pages, written out; the ampersand comes last, also without its semicolon."""
+    for ref, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·")):
+        sql = f"replace({sql}, '{ref}', '{char}')"
+    return f"regexp_replace({sql}, '&amp;?', '&', 'g')"
 
 
 def _clean(sql: str) -> str:
     for t in ("script", "style", "iframe", "noscript"):
         sql = rf"regexp_replace({sql}, '(?is)<{t}\b.*?</{t}\s*>', ' ', 'g')"
-    sql = rf"regexp_replace(regexp_replace({sql}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+    sql = rf"regexp_replace(regexp_replace({sql}, '(?s)<!--.*?-->', ' ', 'g'), '<[a-zA-Z/!?][^>]*>', ' ', 'g')"
     return rf"trim(regexp_replace({_decode(sql)}, '\s+', ' ', 'g'))"
 
 
@@ -316,7 +318,7 @@ k AS (SELECT *, array_to_string(list_transform(list_filter(string_split(m.q, '&'
 c AS (SELECT *, CASE WHEN m.h = '' THEN url ELSE lower(m.s) || '://' || lower(m.h) || CASE WHEN length(m.p) > 1 THEN regexp_replace(m.p, '/+$', '') ELSE m.p END || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical_url FROM k)
 SELECT page_id, title, canonical_url, sha256(lower(title) || '|' || lower(canonical_url)) AS content_hash, nullif(substring(clean, 1, 2000), '') AS summary, length(nullif(substring(clean, 1, 10000), ''))::INTEGER AS content_chars,
   'general' AS category, 'en' AS language, CASE WHEN title = '' THEN 'empty title' WHEN url = '' THEN 'no link or guid' WHEN length(title) > 512 THEN 'title too long' WHEN length(url) > 1024 THEN 'url too long' END AS reject_reason FROM c""",
-    "parsed_times": "SELECT event_id, CASE event_id % 4 WHEN 1 THEN epoch(date_trunc('second', ts))::BIGINT - 3600 WHEN 3 THEN 1704412800 ELSE epoch(date_trunc('second', ts))::BIGINT END AS epoch_s FROM events",
+    "parsed_times": "SELECT event_id, CASE event_id % 8 WHEN 1 THEN epoch(date_trunc('second', ts))::BIGINT - 3600 WHEN 3 THEN 1704412800 WHEN 5 THEN epoch(date_trunc('day', ts))::BIGINT WHEN 7 THEN epoch(date_trunc('minute', ts))::BIGINT ELSE epoch(date_trunc('second', ts))::BIGINT END AS epoch_s FROM events",
     "parsed_feeds": r"SELECT page_id AS source_id, url AS link, url AS guid, length(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)))::INTEGER AS title_chars FROM pages",
     "enabled_sources": f"WITH {BASE} SELECT id, name, trust_level FROM src WHERE enabled ORDER BY id LIMIT 100",
     "seeded_sources": f"""WITH {BASE}, f AS (SELECT language || '/' || category AS feed_url, published_us > t - 86400000000 AS fresh FROM art, newest)

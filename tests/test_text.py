@@ -59,3 +59,32 @@ def test_numbers_dates_trim(spark):
     assert one(spark, X.trim_words(F.col("t"), 10), t="short") == "short"
     assert one(spark, X.entity_key(F.col("t")), t="United Nations / UN (Global)!") == "united_nations_un_global"
     assert one(spark, X.entity_key(F.col("t")), t="São Paulo") == "so_paulo"
+
+
+def test_character_references_and_angle_brackets(spark):
+    cases = {
+        "caf&eacute; &#8217;s &#x27;x&#X27; &rsquo;": "café ’s 'x' ’",
+        "a < b and c > d, 1 <2": "a < b and c > d, 1 <2",
+        "&amp;lt; &lt;b&gt; &copy 2024 &notit; &unknown; & &#; R&D": "&lt; <b> © 2024 ¬it; &unknown; & &#; R&D",
+        "&NotEqualTilde;&nbsp;&#160;x&#0;&#1114112;": "≂̸ x��",
+        "<p>one<br/>two</p><!-- < no --><!DOCTYPE html><b\nclass='x'>three</b>": "one two three",
+        "&": "&",
+    }
+    for raw, want in cases.items():
+        assert one(spark, X.clean_html(F.col("h")), h=raw) == want
+
+
+def test_spelled_times(spark):
+    t0 = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    read = lambda s: one(spark, F.unix_micros(X.parse_time(F.col("s"), t0)), s=s)
+    day, noon = 1704412800, 1704412800 + 43200  # 5 January 2024
+    cases = {
+        "Fri, 05 Jan 2024 12:00:00 EST": noon, "Fri, 5 Jan 24 12:00 GMT": noon, "5 January 2024": day, "January 5, 2024": day, "Jan. 5th, 2024 12:00 pm": noon,
+        "2024-01-05T12:00Z": noon, "2024-01-05 13:00:00+01:00": noon, "2024-01-05 13:00:00 +0100": noon, "2024-01-05T07:00:00-05": noon, "2024/01/05 12:00": noon,
+        "Friday, 05-Jan-24 12:00:00 UTC": noon, "2024-1-5": day, "Fri, 05 Jan 2024 12:00:00 +0000 (UTC)": noon, "5 Jan 2024 12:00 am": day, "5 Jan 75": 158112000,
+    }
+    for raw, want in cases.items():
+        assert read(raw) == want * 1_000_000, raw
+    assert read("2024-01-05T12:00:00.123456Z") == noon * 1_000_000 + 123456 and read("2024-01-05T12:00:00.5Z") == noon * 1_000_000 + 500000
+    for raw in ("soon", "", "2024-13-05", "32 Jan 2024", "5 Foo 2024", "2024-01-05T25:00Z", None):
+        assert one(spark, F.unix_seconds(X.parse_time(F.lit(raw).cast("string"), t0))) == 1717200000, raw
