@@ -45,6 +45,8 @@ def conflicts(evidence: DataFrame) -> DataFrame:
 def bundles(clusters: DataFrame, evidence: DataFrame, mentions: DataFrame | None = None, evidence_only: bool = False) -> DataFrame:
     """One row for each cluster: story columns, ordered evidence, entities, conflicts, provenance and the fingerprint.
 
+    ``mentions`` (cluster_id, norm, mention_count, and name if there is one) become ``entities`` and ``entity_names``, most mentions first.
+
     ``evidence_only`` leaves the story's scores and state out of the fingerprint, so that a rescore does not change it.
     """
     part = F.struct("rank", "id", "title", "excerpt", "source_id", "publisher", "publisher_trust", "published_us", "canonical_url", "numbers", "dates", "lead")
@@ -52,12 +54,13 @@ def bundles(clusters: DataFrame, evidence: DataFrame, mentions: DataFrame | None
     cf = conflicts(evidence).groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("rank_a", "rank_b", "a", "b", "detail"))).alias("conflicts"))
     out = clusters.join(ev, "cluster_id").join(cf, "cluster_id", "left")
     if mentions is not None:
-        en = mentions.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("mention_count")).alias("k"), "norm"))).alias("e"))
-        out = out.join(en.select("cluster_id", F.col("e.norm").alias("entities")), "cluster_id", "left")
+        name = F.col("name") if "name" in mentions.columns else F.col("norm").alias("name")
+        en = mentions.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("mention_count")).alias("k"), "norm", name))).alias("e"))
+        out = out.join(en.select("cluster_id", F.col("e.norm").alias("entities"), F.col("e.name").alias("entity_names")), "cluster_id", "left")
     else:
-        out = out.withColumn("entities", F.array().cast("array<string>"))
+        out = out.withColumn("entities", F.array().cast("array<string>")).withColumn("entity_names", F.array().cast("array<string>"))
     empty = lambda c: F.coalesce(c, F.from_json(F.lit("[]"), out.schema[c].dataType))
-    out = out.withColumn("conflicts", empty("conflicts")).withColumn("entities", empty("entities"))
+    out = out.withColumn("conflicts", empty("conflicts")).withColumn("entities", empty("entities")).withColumn("entity_names", empty("entity_names"))
     out = out.withColumn("article_ids", F.col("articles.id")).withColumn("source_ids", F.array_sort(F.array_distinct("articles.source_id"))).withColumn("publishers", F.array_sort(F.array_distinct("articles.publisher")))
     out = out.withColumn("urls", F.map_from_entries(F.transform("articles", lambda a: F.struct(a["id"], a["canonical_url"]))))
     parts = ["cluster_id", "title", "articles", "entities"] + ([] if evidence_only else [c for c in ("category", "trending", "state") if c in out.columns])
@@ -97,6 +100,21 @@ def package(sections: DataFrame, most_headlines: int = 5) -> DataFrame:
     return out.withColumn("copy", F.concat_ws("\n", "headline", "summary", "body", "caption"))
 
 
+def risk_flags(packages: DataFrame, checked: DataFrame, section_findings: DataFrame | None = None) -> DataFrame:
+    """``packages`` with ``risk_flags``: the flags of the package's own check and of its sections' (cluster_id, flag), sorted, each once; a conflict in
+    the evidence that no check has named comes last (B16). ``checked`` has cluster_id, flags and conflicts."""
+    own = checked.select("cluster_id", F.col("flags").alias("_f"), (F.size("conflicts") > 0).alias("_c"))
+    out = packages.join(own, "cluster_id", "left")
+    empty = F.array().cast("array<string>")
+    merged = F.coalesce("_f", empty)
+    if section_findings is not None:
+        out = out.join(section_findings.groupBy("cluster_id").agg(F.collect_set("flag").alias("_s")), "cluster_id", "left")
+        merged = F.concat(merged, F.coalesce("_s", empty))
+    merged = F.array_sort(F.array_distinct(merged))
+    last = F.when(F.coalesce("_c", F.lit(False)) & ~F.array_contains(merged, "CONFLICTING_SOURCES"), F.array(F.lit("CONFLICTING_SOURCES"))).otherwise(empty)
+    return out.withColumn("risk_flags", F.concat(merged, last)).drop("_f", "_c", "_s")
+
+
 def payload_text(payload: DataFrame) -> Column:
     """The texts of a payload in their fixed order: six strings, then five that are lists or strings."""
     have = set(payload.columns)

@@ -1,4 +1,4 @@
-"""Story scores (T1-T8): velocity, freshness, corroboration, relevance, trending and the lifecycle state. Times are microseconds."""
+"""Story scores (T1-T10): velocity, freshness, corroboration, relevance, trending and the lifecycle state. Times are microseconds."""
 
 from __future__ import annotations
 
@@ -72,10 +72,7 @@ def state(t: Column, v: Column, f: Column, articles: Column, sources: Column) ->
 
 
 def score_clusters(clusters: DataFrame, members: DataFrame, articles: DataFrame, sources: DataFrame, mentions: DataFrame | None, as_of_us: int) -> DataFrame:
-    """All signals of every cluster. ``clusters`` has cluster_id and category, ``mentions`` (cluster_id, entity) or none.
-
-    To rescore only what a run touched (T9), pass the touched clusters and their members, found by a semi join on the touched ids.
-    """
+    """All signals of every cluster. ``clusters`` has cluster_id and category, ``mentions`` (cluster_id, entity) or none."""
     out = clusters.join(coverage(members, articles, as_of_us), "cluster_id", "left").join(corroboration(members, articles, sources), "cluster_id", "left")
     if mentions is not None:
         out = out.join(mentions.distinct().groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_entities")), "cluster_id", "left")
@@ -90,6 +87,14 @@ def score_clusters(clusters: DataFrame, members: DataFrame, articles: DataFrame,
     return out.drop("recent", "previous")
 
 
+def rescore_clusters(touched: DataFrame, clusters: DataFrame, members: DataFrame, articles: DataFrame, sources: DataFrame, mentions: DataFrame | None, as_of_us: int) -> DataFrame:
+    """``score_clusters`` of the clusters in ``touched`` (cluster_id, may repeat) only, over all their members (T9). Clusters, members and mentions
+    are cut by semi joins before anything is joined or aggregated, so the work follows the clusters that a run touched."""
+    ids = touched.select("cluster_id").where("cluster_id is not null").distinct()
+    only = lambda df: df.join(ids, "cluster_id", "left_semi")
+    return score_clusters(only(clusters), only(members), articles, sources, None if mentions is None else only(mentions), as_of_us)
+
+
 def explanation(scored: DataFrame) -> DataFrame:
     """``scored`` with the explanation document as a struct and as JSON."""
     w = TRENDING_WEIGHTS

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import brief, guard, ledger, normalize, quality, score, views
+from ..operators import brief, entities, guard, ledger, normalize, quality, score, views
 from ..sources import feeds, tables
 from ..streaming import flow
 from . import model
@@ -117,10 +117,13 @@ def title_lookups(spark, sf_dir):
 # --- briefs, guard, quality, ledger -----------------------------------------------------------------------------------------------------
 
 
-def _bundles(spark, sf_dir):
+def _bundles(spark, sf_dir, stories=None):
+    from .story_queries import _links
+
     art, src = model.articles(spark, sf_dir), model.sources(spark, sf_dir)
-    ev = brief.evidence_articles(model.memberships(art), art, src)
-    return brief.bundles(scored(spark, sf_dir), ev)
+    members, links = model.memberships(art), _links(spark, art)
+    mentions = entities.cluster_mentions(links, members).join(entities.entity_dimension(links, art).select("norm", "name"), "norm")
+    return brief.bundles(scored(spark, sf_dir) if stories is None else stories, brief.evidence_articles(members, art, src), mentions)
 
 
 def _package(spark, sf_dir):
@@ -166,32 +169,53 @@ def payload_audit(spark, sf_dir):
     return brief.payload_errors(c.select("conv_id", "turn", F.lit("summary_result").alias("schema_name"), payload.alias("payload_json"))).select("conv_id", "turn", "error")
 
 
-def _checked(spark, sf_dir):
+def _checked(spark, sf_dir, stories=None):
     """Each cluster's lead article in full, as a draft, against that cluster's evidence."""
-    b = _bundles(spark, sf_dir)
     art = model.articles(spark, sf_dir).select(F.col("id").alias("cluster_id"), F.col("content").alias("copy"))
-    return guard.check(b.join(art, "cluster_id"), b)
+    return guard.check(_bundles(spark, sf_dir, stories).join(art, "cluster_id"))
+
+
+def _titles(spark, sf_dir):
+    return model.articles(spark, sf_dir).select(F.col("id").alias("cluster_id"), "title")
 
 
 def guard_flags(spark, sf_dir):
-    found = _checked(spark, sf_dir).select("cluster_id", F.explode("findings.flag").alias("flag"))
-    return found.where(F.col("flag").isin("LOW_EVIDENCE", "CONFLICTING_SOURCES", "UNSUPPORTED_NUMBER", "UNSUPPORTED_DATE", "UNSUPPORTED_URL", "MISSING_ATTRIBUTION")).groupBy("cluster_id", "flag").agg(F.count(F.lit(1)).alias("n"))
+    # the outer form keeps the optimizer from adding a filter that computes the findings a second time
+    found = _checked(spark, sf_dir, _titles(spark, sf_dir)).select("cluster_id", F.explode_outer("findings.flag").alias("flag"))
+    return found.where("flag is not null").groupBy("cluster_id", "flag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def guard_findings(spark, sf_dir):
-    return _checked(spark, sf_dir).select("cluster_id", "claims_supported", F.array_join("flags", "|").alias("flags"), F.size("findings").alias("n_findings"))
+    return _checked(spark, sf_dir, _titles(spark, sf_dir)).select("cluster_id", "claims_supported", F.array_join("flags", "|").alias("flags"), F.size("findings").alias("n_findings"))
+
+
+def guard_snippets(spark, sf_dir):
+    """What each finding points at, in order."""
+    said = F.transform("findings", lambda f: F.concat(f["flag"], F.lit("="), f["snippet"]))
+    picked = F.filter(said, lambda f: f.startswith("UNSUPPORTED_ENTITY") | f.startswith("UNSUPPORTED_QUOTE") | f.startswith("UNSUPPORTED_DATE"))
+    return _checked(spark, sf_dir, _titles(spark, sf_dir)).select("cluster_id", F.array_join(F.array_sort(picked), "|").alias("snippets"))
+
+
+def package_flags(spark, sf_dir):
+    """Risk flags of every package: those of the whole copy and those of its summary and body."""
+    b = _bundles(spark, sf_dir)
+    p = brief.package(brief.briefs(b))
+    checked = guard.check(p)
+    sections = [guard.check(p, text_col=c).select("cluster_id", F.explode_outer("flags").alias("flag")).where("flag is not null") for c in ("summary", "body")]
+    return brief.risk_flags(p, checked, sections[0].unionByName(sections[1])).select("cluster_id", F.array_join("risk_flags", "|").alias("risk_flags"))
 
 
 def copy_quality(spark, sf_dir):
     """The text-only components over whole documents."""
     d = model.table(spark, sf_dir, "documents")
     title = model.first_words()
-    return d.select("doc_id", quality.clarity(F.col("text")).alias("clarity"), quality.headline_quality(title).alias("headline_quality"), quality.word_count(F.col("text")).alias("n_words"), quality.factual_support(F.col("doc_id") % 4, quality.word_count(F.col("text"))).alias("factual_support"))
+    d = d.select("doc_id", title.alias("title"), quality.word_count(F.col("text")).alias("n_words"), quality.sentence_lengths(F.col("text")).alias("lengths"))
+    return d.select("doc_id", quality.clarity(F.col("lengths")).alias("clarity"), quality.headline_quality(F.col("title")).alias("headline_quality"), "n_words", quality.factual_support(F.col("doc_id") % 4, F.col("n_words")).alias("factual_support"))
 
 
 def draft_quality(spark, sf_dir):
     a = quality.assess(_checked(spark, sf_dir).withColumn("headline", F.col("title")), "ARTICLE", sections={"headline": "title", "dek": "title", "body": "copy"})
-    return a.select("cluster_id", "evidence_coverage", "attribution_score", "completeness", "clarity", "headline_quality", "risk_level", "factual_support", "overall", "confidence", "status")
+    return a.select("cluster_id", "evidence_coverage", "attribution_score", "completeness", "clarity", "headline_quality", "risk_level", "factual_support", "overall", "confidence", "status", F.size("quality_notes").alias("n_notes"))
 
 
 def _generations(spark, sf_dir):
@@ -270,7 +294,7 @@ def story_sessions(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     normalized_pages, parsed_times, parsed_feeds, enabled_sources, seeded_sources, patched_sources, cascade_deleted, run_audit, run_history, article_counts, article_page, title_lookups,
-    evidence_conflicts, evidence_provenance, evidence_fingerprints, story_briefs, story_packages, payload_audit, guard_flags, guard_findings, copy_quality, draft_quality,
+    evidence_conflicts, evidence_provenance, evidence_fingerprints, story_briefs, story_packages, payload_audit, guard_flags, guard_findings, guard_snippets, package_flags, copy_quality, draft_quality,
     ledger_reuse, ledger_history, ledger_audit, ledger_types, draft_provenance, regenerated_drafts, cited_drafts, coverage_tumbling, coverage_sliding, story_sessions,
 )}
 
@@ -308,9 +332,37 @@ _GEN = f"""WITH {BASE}, gen AS (SELECT id, source_id AS story_cluster_id, ['HEAD
   (id % 3 <> 0)::INTEGER AS success, published_us AS created_at FROM art),
 dra AS (SELECT id + 1000000 AS id, id AS generation_id, story_cluster_id AS cluster_id, created_at FROM gen WHERE success = 1 AND id % 2 = 0)"""
 _MARKS = " OR ".join(f"contains(lower(copy), '{m}')" for m in V.ATTRIBUTION_MARKERS)
+_CREDIT = " OR ".join(f"contains(lower(copy), '{m}')" for m in V.CREDIT_MARKERS)
 _CLICK = " OR ".join("contains(lower(t), '{}')".format(m.replace("'", "''")) for m in V.CLICKBAIT_TERMS)
 _SUPER = " OR ".join(f"contains(lower(t), '{m}')" for m in V.SUPERLATIVE_TERMS)
 
+_PLAIN = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9 ]+', '', 'g'))"
+_DATE_SQL = r"'(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4}\b|\b\d{4}-\d{2}-\d{2}\b'"
+#: Findings (a: cluster_id, k for the order of the checks, flag, v) of every lead article, with the evidence (s) and the draft (d). Letters beyond
+#: ASCII become underscores where word boundaries are looked for, as boundaries are those of ASCII here.
+_FOUND = _story(_EV) + rf""", dim AS (SELECT norm, arg_min(lnk.name, (published_us, lnk.id, lnk.name)) AS name FROM lnk JOIN art USING (id) GROUP BY norm),
+enn AS (SELECT cluster_id, list(dim.name ORDER BY mention_count DESC, norm) AS en, list(norm ORDER BY mention_count DESC, norm) AS ek FROM men JOIN dim USING (norm) GROUP BY cluster_id),
+s AS MATERIALIZED (SELECT cluster_id, n, said, ns, pub, coalesce(en, []) AS en, {_PLAIN("array_to_string(list_concat(parts, flatten(list_transform(list_zip(coalesce(en, []), coalesce(ek, [])), lambda z: [z[1], z[2]])), [t.title]), ' ')")} AS corpus
+  FROM (SELECT cluster_id, count(*) AS n, string_agg(title || ' ' || excerpt, chr(10) ORDER BY rank) AS said, list(nums) AS ns, list(publisher) AS pub, flatten(list([title, excerpt, publisher] ORDER BY rank)) AS parts FROM ev GROUP BY cluster_id)
+  LEFT JOIN enn USING (cluster_id) JOIN art t ON t.id = cluster_id),
+d AS MATERIALIZED (SELECT s.cluster_id, said, pub, en, corpus, content AS copy, list_distinct(list_concat(regexp_extract_all(said, '\b\d[\d,\.]*%?\b'), flatten(ns))) AS sup FROM s JOIN art ON art.id = cluster_id),
+c0 AS (SELECT cluster_id, corpus, list_concat(list_transform(en, lambda x: {_PLAIN("x")}), list_transform(pub, lambda x: {_PLAIN("x")})) AS names,
+  flatten(list_transform(regexp_split_to_array(regexp_replace(copy, '[^\x00-\x7F’“”\x{{85}}\x{{2028}}\x{{2029}}]', '_', 'g'), '[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_extract_all(x, '\b([A-Z][a-zA-Z''’\.]+(?:\s+(?:of|the|and|for|de|van|von)?\s*[A-Z][a-zA-Z''’\.]+){{0,3}})\b', 1))) AS cs FROM d),
+c1 AS (SELECT cluster_id, corpus, names, unnest(cs) AS v, generate_subscripts(cs, 1) AS i FROM c0),
+c2 AS (SELECT cluster_id, arg_min(v, i) AS v, form, any_value(corpus) AS corpus, any_value(names) AS names FROM (SELECT *, {_PLAIN("v")} AS form FROM c1) WHERE form <> '' AND form NOT IN ({", ".join(f"'{w}'" for w in (*V.GUARD_STOP_WORDS, *V.DESK_TERMS))}) GROUP BY cluster_id, form),
+x AS (SELECT cluster_id, unnest(list_distinct(regexp_extract_all(copy, '\b\d[\d,\.]*%?\b'))) AS v, sup FROM d),
+y AS (SELECT cluster_id, v, replace(regexp_replace(v, '%+$', ''), ',', '') AS bare, list_filter(list_transform(sup, lambda z: replace(regexp_replace(z, '%+$', ''), ',', '')), lambda z: z <> '') AS known FROM x WHERE NOT list_contains(sup, v)),
+i AS (SELECT cluster_id, unnest(list_distinct(regexp_extract_all(copy, {_DATE_SQL}))) AS v, said FROM d),
+qu AS (SELECT cluster_id, corpus, unnest(regexp_extract_all(copy, '["“'']([^"”'']{{15,}})["”'']', 1)) AS v FROM d),
+a AS MATERIALIZED (SELECT cluster_id, 1 AS k, 'LOW_EVIDENCE' AS flag, '' AS v FROM s WHERE n < 2
+  UNION ALL SELECT e.cluster_id, 2, 'CONFLICTING_SOURCES', '' FROM ev e JOIN ev f ON e.cluster_id = f.cluster_id AND e.rank < f.rank WHERE len(e.nums) > 0 AND len(f.nums) > 0 AND NOT list_has_any(e.nums, f.nums)
+  UNION ALL SELECT cluster_id, 3, 'UNSUPPORTED_ENTITY', v FROM c2 WHERE NOT contains(corpus, form) AND len(list_filter(names, lambda z: contains(z, form) OR contains(form, z))) = 0
+  UNION ALL SELECT cluster_id, 4, 'UNSUPPORTED_NUMBER', v FROM y WHERE bare = '' OR len(list_filter(known, lambda z: NOT (contains(z, bare) OR contains(bare, z)))) > 0
+  UNION ALL SELECT cluster_id, 5, 'UNSUPPORTED_DATE', v FROM i WHERE NOT list_contains(regexp_extract_all(said, {_DATE_SQL}), v)
+  UNION ALL SELECT cluster_id, 6, 'UNSUPPORTED_QUOTE', substring(v, 1, 80) FROM qu WHERE NOT contains(corpus, {_PLAIN("v")})
+  UNION ALL SELECT cluster_id, 7, 'UNSUPPORTED_URL', u FROM (SELECT cluster_id, unnest(regexp_extract_all(copy, 'https?://[^\s"''<>)\]]+')) AS u FROM d) WHERE NOT starts_with(u, 'https://example.org/a/')
+  UNION ALL SELECT cluster_id, 8, 'MISSING_ATTRIBUTION', '' FROM d WHERE NOT ({_MARKS}) AND len(list_filter(pub, lambda p: contains(lower(copy), p))) = 0)"""
+
 ORACLES = {
     "normalized_pages": rf"""WITH p AS (SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, trim(url) AS url, {_clean("html")} AS clean FROM pages),
 u AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?', ['s', 'h', 'p', 'q']) AS m FROM p),
@@ -350,18 +402,32 @@ SELECT cluster_id, title AS headline, array_to_string(list_filter([title, CASE W
   {_TRIM("(fact || ' (via ' || att || ')')", 280)} AS caption,
   array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(title, '\s+', ' ', 'g')), ' '), lambda w: lower(trim(w, '.,;:!?"''()'))), lambda w: length(w) > 4), lambda w: '#' || w)[1:3], '|') AS hashtags FROM f""",
     "payload_audit": "SELECT conv_id, turn, CASE role WHEN 'user' THEN NULL WHEN 'assistant' THEN 'type of key_facts' ELSE 'not an object' END AS error FROM conversations",
-    "guard_flags": rf"""WITH {BASE}, {_EV}, s AS (SELECT cluster_id, count(*) AS n, string_agg(title || ' ' || excerpt, chr(10) ORDER BY rank) AS said, list(nums) AS ns, list(publisher) AS pub FROM ev GROUP BY cluster_id),
-d AS (SELECT s.*, content AS copy, list_distinct(list_concat(regexp_extract_all(said, '\b\d[\d,\.]*%?\b'), flatten(ns))) AS sup FROM s JOIN art ON art.id = cluster_id),
-x AS (SELECT cluster_id, unnest(list_distinct(regexp_extract_all(copy, '\b\d[\d,\.]*%?\b'))) AS v, sup FROM d),
-y AS (SELECT cluster_id, replace(regexp_replace(v, '%+$', ''), ',', '') AS bare, list_filter(list_transform(sup, lambda z: replace(regexp_replace(z, '%+$', ''), ',', '')), lambda z: z <> '') AS known FROM x WHERE NOT list_contains(sup, v)),
-i AS (SELECT cluster_id, unnest(list_distinct(regexp_extract_all(copy, '(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s*\d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b'))) AS v, said FROM d),
-a AS (SELECT cluster_id, 'LOW_EVIDENCE' AS flag FROM s WHERE n < 2
-  UNION ALL SELECT e.cluster_id, 'CONFLICTING_SOURCES' FROM ev e JOIN ev f ON e.cluster_id = f.cluster_id AND e.rank < f.rank WHERE len(e.nums) > 0 AND len(f.nums) > 0 AND NOT list_has_any(e.nums, f.nums)
-  UNION ALL SELECT cluster_id, 'UNSUPPORTED_NUMBER' FROM y WHERE bare = '' OR len(list_filter(known, lambda z: NOT (contains(z, bare) OR contains(bare, z)))) > 0
-  UNION ALL SELECT cluster_id, 'UNSUPPORTED_DATE' FROM i WHERE NOT list_contains(regexp_extract_all(said, '(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s*\d{{4}}\b|\b\d{{4}}-\d{{2}}-\d{{2}}\b'), v)
-  UNION ALL SELECT cluster_id, 'UNSUPPORTED_URL' FROM (SELECT cluster_id, unnest(regexp_extract_all(copy, 'https?://[^\s"''<>)\]]+')) AS u FROM d) WHERE NOT starts_with(u, 'https://example.org/a/')
-  UNION ALL SELECT cluster_id, 'MISSING_ATTRIBUTION' FROM d WHERE NOT ({_MARKS}) AND len(list_filter(pub, lambda p: contains(lower(copy), p))) = 0)
-SELECT cluster_id, flag, count(*) AS n FROM a GROUP BY ALL""",
+    "guard_flags": _FOUND + " SELECT cluster_id, flag, count(*) AS n FROM a GROUP BY ALL",
+    "guard_findings": _FOUND
+    + """ SELECT s.cluster_id, count(flag) = 0 AS claims_supported, coalesce(array_to_string(list_transform(list_sort(list_distinct(list(k || flag))), lambda x: x[2:]), '|'), '') AS flags, count(flag)::INTEGER AS n_findings
+FROM s LEFT JOIN a ON s.cluster_id = a.cluster_id GROUP BY s.cluster_id""",
+    "guard_snippets": _FOUND
+    + """ SELECT s.cluster_id, coalesce(array_to_string(list_sort(list(flag || '=' || v) FILTER (flag IN ('UNSUPPORTED_ENTITY', 'UNSUPPORTED_QUOTE', 'UNSUPPORTED_DATE'))), '|'), '') AS snippets FROM s LEFT JOIN a ON s.cluster_id = a.cluster_id GROUP BY s.cluster_id""",
+    "draft_quality": _FOUND
+    + rf""", w AS (SELECT a.cluster_id, count(*) AS nf, list(DISTINCT flag) AS fl, sum(CASE {" ".join(f"WHEN flag = '{f}' THEN {w}" for f, w in V.RISK_WEIGHTS.items())} ELSE 10 END) AS risk FROM a GROUP BY a.cluster_id),
+e AS (SELECT s.cluster_id, s.n AS used, copy, title, article_count, corroboration, list_distinct(s.pub) AS pubs, coalesce(nf, 0) AS nf, coalesce(fl, []) AS fl, greatest(0, 100 - coalesce(risk, 0))::INTEGER AS risk_level,
+  len(regexp_extract_all(copy, '[^ \t-\r]+')) AS nw, len(regexp_extract_all(title, '[^ \t-\r]+')) AS nt, title AS t,
+  list_transform(list_filter(string_split(regexp_replace(copy, '([.!?])[ \t-\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[^ \t-\r]')), lambda x: len(regexp_extract_all(x, '[^ \t-\r]+'))) AS len_
+  FROM s JOIN d USING (cluster_id) JOIN sto USING (cluster_id) LEFT JOIN w ON w.cluster_id = s.cluster_id),
+q AS (SELECT *, round_even(100.0::DOUBLE * least(1.0::DOUBLE, used / greatest(article_count, used, 1)::DOUBLE), 0)::INTEGER AS evidence_coverage,
+  floor(100.0::DOUBLE * (len(list_filter(pubs, lambda p: contains(lower(copy), lower(p)))) / len(pubs)::DOUBLE))::INTEGER AS base,
+  round_even((2 * (trim(title) <> '')::INTEGER + (trim(copy) <> '')::INTEGER) / 3.0::DOUBLE * 100.0::DOUBLE, 0)::INTEGER AS completeness,
+  CASE WHEN len(len_) = 0 THEN 0 ELSE greatest(0, least(100, 100 - greatest(0, trunc((list_sum(len_) / len(len_)::DOUBLE - 22) * 3)) - 6 * len(list_filter(len_, lambda x: x > 34)))) END::INTEGER AS clarity,
+  CASE WHEN trim(t) = '' THEN 0 ELSE greatest(0, 100 - CASE WHEN nt < 3 THEN 25 WHEN nt > 14 THEN 20 ELSE 0 END - CASE WHEN {_CLICK} THEN 30 ELSE 0 END - CASE WHEN {_SUPER} THEN 20 ELSE 0 END
+    - CASE WHEN suffix(lower(t), '?') AND NOT regexp_matches(t, '[\p{{L}}\p{{N}}]') THEN 15 ELSE 0 END) END::INTEGER AS headline_quality,
+  CASE WHEN nw <= 0 THEN 0 ELSE floor(greatest(0.0::DOUBLE, 100.0::DOUBLE - 25.0::DOUBLE * (nf / greatest(nw / 100.0::DOUBLE, 0.5::DOUBLE)))) END::INTEGER AS factual_support FROM e),
+r AS (SELECT *, CASE WHEN ({_CREDIT}) AND base >= 50 THEN least(100, base + 15) ELSE base END::INTEGER AS attribution_score FROM q),
+o AS (SELECT *, CASE WHEN list_contains(fl, 'CONFLICTING_SOURCES') THEN 8 ELSE 0 END AS penalty FROM r),
+z AS (SELECT *, greatest(0, least(100, round_even(round(evidence_coverage * 0.25::DOUBLE + factual_support * 0.25::DOUBLE + attribution_score * 0.15::DOUBLE + completeness * 0.10::DOUBLE + clarity * 0.10::DOUBLE + headline_quality * 0.10::DOUBLE
+  + risk_level * 0.05::DOUBLE - penalty, 6), 0)))::INTEGER AS overall FROM o)
+SELECT cluster_id, evidence_coverage, attribution_score, completeness, clarity, headline_quality, risk_level, factual_support, overall,
+  greatest(0, least(100, round_even(round(factual_support * 0.5::DOUBLE + corroboration * 0.5::DOUBLE, 6), 0)))::INTEGER AS confidence,
+  CASE WHEN list_has_any(fl, [{", ".join(f"'{f}'" for f in V.SERIOUS_FLAGS)}]) OR overall < 55 THEN 'REGENERATE' WHEN len(fl) > 0 THEN 'NEEDS_REVIEW' ELSE 'GENERATED' END AS status, (7 + (penalty > 0)::INTEGER)::INTEGER AS n_notes FROM z""",
     "copy_quality": rf"""WITH d AS (SELECT doc_id, text, array_to_string(string_split(string_split(text, chr(10))[1], ' ')[1:12], ' ') AS t FROM documents),
 s AS (SELECT *, list_transform(list_filter(string_split(regexp_replace(text, '([.!?])[ \t-\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_matches(x, '[^ \t-\r]')), lambda x: len(regexp_extract_all(x, '[^ \t-\r]+'))) AS n FROM d),
 q AS (SELECT *, len(regexp_extract_all(t, '[^ \t-\r]+')) AS nt, len(regexp_extract_all(text, '[^ \t-\r]+')) AS nw FROM s)

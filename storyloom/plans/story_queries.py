@@ -90,6 +90,16 @@ def story_scores(spark, sf_dir):
     return scored(spark, sf_dir)
 
 
+def rescored_stories(spark, sf_dir):
+    """The stories that the articles of the newest day touch, scored again over all their members."""
+    art = model.articles(spark, sf_dir)
+    members, t = model.memberships(art), model.as_of(art)
+    touched = members.join(art.where(F.col("published_us") > t - 86_400_000_000).select("id"), "id", "left_semi")
+    clusters = art.select(F.col("id").alias("cluster_id"), "title", "category")
+    mentions = entities.cluster_mentions(_links(spark, art), members).select("cluster_id", F.col("norm").alias("entity"))
+    return score.rescore_clusters(touched, clusters, members, art, model.sources(spark, sf_dir), mentions, t).select(*STORY_COLUMNS)
+
+
 def trending_top20(spark, sf_dir):
     return views.list_trending(scored(spark, sf_dir), 20).select("cluster_id", "title", "trending", "state")
 
@@ -233,7 +243,7 @@ def evidence_articles(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     story_scores, trending_top20, trending_per_category, stories_recent, story_dashboard, story_page, story_search, story_labels, story_explanations, story_detail, state_transitions,
-    entity_links, entity_dimension, entity_mentions, entity_listing, title_tokens, exact_duplicates, near_title_pairs, near_title_members, similar_title_pairs, new_against_history, leader_pass,
+    rescored_stories, entity_links, entity_dimension, entity_mentions, entity_listing, title_tokens, exact_duplicates, near_title_pairs, near_title_members, similar_title_pairs, new_against_history, leader_pass,
     best_clusters, cluster_table, greedy_clusters, clustering_summary, evidence_articles,
 )}
 
@@ -253,6 +263,7 @@ _STATE = """CASE WHEN f <= 10 THEN 'STALE' WHEN tr >= 80 AND v >= 60 AND source_
     WHEN f <= 35 AND v <= 20 THEN 'COOLING' WHEN tr >= 45 OR v >= 30 THEN 'RISING' ELSE 'EMERGING' END"""
 
 ORACLES = {
+    "rescored_stories": STORY + f"SELECT {', '.join(STORY_COLUMNS)} FROM sto WHERE cluster_id IN (SELECT cluster_id FROM mem JOIN art USING (id), newest WHERE published_us > t - 86400000000)",
     "story_scores": STORY + "SELECT " + ", ".join(STORY_COLUMNS) + " FROM sto",
     "trending_top20": STORY + "SELECT cluster_id, title, trending, state FROM sto ORDER BY trending DESC, cluster_id LIMIT 20",
     "trending_per_category": STORY + "SELECT category, rank, cluster_id, trending FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY trending DESC, cluster_id)::INTEGER AS rank FROM sto) WHERE rank <= 5",
