@@ -259,10 +259,39 @@ p AS (SELECT x.id AS a, y.id AS b, count(*) AS n_both, x.n + y.n - count(*) AS n
 SELECT a, b, n_both, n_either::BIGINT AS n_either FROM p WHERE n_both * 100 >= n_either * {percent} {guard}"""
 
 
+def _near_sql(tokens: str, percent: int, guard: str = "") -> str:
+    """tok, sha: tokens and hash of every article; sim: pairs of different articles (x, y) with similar token sets, equal ones included."""
+    return rf"""tok AS MATERIALIZED (SELECT id, {tokens} AS tok FROM art), wds AS (SELECT id, len(tok) AS n, unnest(tok) AS w FROM tok),
+sim AS MATERIALIZED (SELECT x.id AS x, y.id AS y, count(*) AS n_both, x.n + y.n - count(*) AS n_either FROM wds x JOIN wds y ON x.w = y.w AND x.id <> y.id GROUP BY x.id, y.id, x.n, y.n
+  HAVING count(*) * 100 >= (x.n + y.n - count(*)) * {percent} {guard})"""
+
+
+#: The ordered passes, one article at each step of a recursion that carries what was accepted (acc) or the open stories (st).
+_LEADER = f"""WITH RECURSIVE {BASE}, {_near_sql(_TOK, 85)}, sha AS (SELECT id, sha256(lower(trim(title)) || '|' || lower(trim(language))) AS h FROM art),
+bef AS MATERIALIZED (SELECT x AS id, y AS o, 'title' AS why FROM sim WHERE y < x UNION ALL SELECT a.id, b.id, 'hash' FROM sha a JOIN sha b ON a.h = b.h AND b.id < a.id),
+row_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS i, id, coalesce(nb, []) AS nb FROM art LEFT JOIN (SELECT id, list(DISTINCT o) AS nb FROM bef GROUP BY id) USING (id)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc UNION ALL SELECT row_.i, CASE WHEN list_has_any(nb, acc) THEN acc ELSE list_append(acc, id) END FROM r JOIN row_ ON row_.i = r.i + 1),
+ok AS MATERIALIZED (SELECT unnest(acc) AS id FROM (SELECT acc FROM r ORDER BY i DESC LIMIT 1)),
+hit AS (SELECT bef.id, max(o) FILTER (why = 'hash') AS h, max(o) FILTER (why = 'title') AS t FROM bef JOIN ok ON ok.id = o WHERE bef.id NOT IN (SELECT id FROM ok) GROUP BY bef.id)
+SELECT art.id, hit.id IS NOT NULL AS is_duplicate, coalesce(h, t) AS duplicate_of_id, CASE WHEN h IS NOT NULL THEN 'hash' WHEN t IS NOT NULL THEN 'title' END AS reason FROM art LEFT JOIN hit USING (id)"""
+_GREEDY = f"""WITH RECURSIVE {BASE}, {ENTITIES}, {_near_sql(_INF, 35, "AND NOT (count(*) <= 1 AND x.n + y.n - count(*) >= 4)")},
+can AS (SELECT x AS id, list({{'s': y, 'q': n_both / n_either::DOUBLE}}) AS c FROM sim JOIN art a ON a.id = x JOIN art b ON b.id = y
+  WHERE (b.published_us, b.id) < (a.published_us, a.id) AND (a.category = 'general' OR b.category IN (a.category, 'general')) GROUP BY x),
+row_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY published_us, id) AS i, id, published_us AS p, coalesce(c, []) AS c FROM art LEFT JOIN can USING (id)),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, NULL::STRUCT(q DOUBLE, l BIGINT, s BIGINT) AS best, []::STRUCT(s BIGINT, l BIGINT)[] AS st
+  UNION ALL SELECT i, id, best, CASE WHEN best IS NULL THEN list_append(st, {{'s': id, 'l': p}}) ELSE list_transform(st, lambda z: CASE WHEN z.s = -best.s THEN {{'s': z.s, 'l': greatest(z.l, p)}} ELSE z END) END
+  FROM (SELECT row_.i, row_.id, p, st, list_sort(flatten(list_transform(c, lambda k: list_transform(list_filter(st, lambda z: z.s = k.s AND z.l >= p - 172800000000), lambda z: {{'q': k.q, 'l': z.l, 's': -z.s}}))))[-1] AS best FROM r JOIN row_ ON row_.i = r.i + 1)),
+gre AS MATERIALIZED (SELECT id, CASE WHEN best IS NULL THEN id ELSE -best.s END AS cluster_id, CASE WHEN best IS NULL THEN 1.0 ELSE best.q END::DOUBLE AS similarity, CASE WHEN best IS NULL THEN 'seed' ELSE 'lexical' END AS method FROM r WHERE i > 0)"""
+
 _STATE = """CASE WHEN f <= 10 THEN 'STALE' WHEN tr >= 80 AND v >= 60 AND source_count >= 2 THEN 'PEAK' WHEN tr >= 65 AND article_count >= 2 THEN 'TRENDING'
     WHEN f <= 35 AND v <= 20 THEN 'COOLING' WHEN tr >= 45 OR v >= 30 THEN 'RISING' ELSE 'EMERGING' END"""
 
 ORACLES = {
+    "leader_pass": _LEADER,
+    "greedy_clusters": _GREEDY + " SELECT * FROM gre",
+    "clustering_summary": _GREEDY
+    + """ SELECT count(*) AS articles_evaluated, count(*) FILTER (method = 'seed') AS clusters_created, count(*) AS articles_assigned, count(DISTINCT cluster_id) FILTER (method = 'lexical') AS clusters_updated,
+  (SELECT count(*) FROM lnk) AS entities_linked, count(DISTINCT cluster_id) AS clusters_scored FROM gre""",
     "rescored_stories": STORY + f"SELECT {', '.join(STORY_COLUMNS)} FROM sto WHERE cluster_id IN (SELECT cluster_id FROM mem JOIN art USING (id), newest WHERE published_us > t - 86400000000)",
     "story_scores": STORY + "SELECT " + ", ".join(STORY_COLUMNS) + " FROM sto",
     "trending_top20": STORY + "SELECT cluster_id, title, trending, state FROM sto ORDER BY trending DESC, cluster_id LIMIT 20",
