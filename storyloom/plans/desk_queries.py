@@ -338,14 +338,30 @@ _SUPER = " OR ".join(f"contains(lower(t), '{m}')" for m in V.SUPERLATIVE_TERMS)
 
 _PLAIN = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9 ]+', '', 'g'))"
 _DATE_SQL = r"'(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4}\b|\b\d{4}-\d{2}-\d{2}\b'"
-#: Findings (a: cluster_id, k for the order of the checks, flag, v) of every lead article, with the evidence (s) and the draft (d). Letters beyond
-#: ASCII become underscores where word boundaries are looked for, as boundaries are those of ASCII here.
-_FOUND = _story(_EV) + rf""", dim AS (SELECT norm, arg_min(lnk.name, (published_us, lnk.id, lnk.name)) AS name FROM lnk JOIN art USING (id) GROUP BY norm),
+_BRIEFS = _story(_EV) + rf""", g AS (SELECT cluster_id, list(lead ORDER BY rank) FILTER (lead <> '') AS l, list_sort(list_distinct(list(publisher))) AS pub, count(*) AS n FROM ev GROUP BY cluster_id),
+b AS (SELECT cluster_id, title, state, coalesce(l, []) AS l, n, array_to_string(pub[1:3], ', ') AS att FROM g JOIN sto USING (cluster_id)),
+f AS (SELECT *, coalesce(l[1], title) AS fact, list_transform(l[1:4], lambda x: {_TRIM("x")}) AS sf FROM b),
+brf AS MATERIALIZED (SELECT cluster_id, title AS headline, array_to_string(list_filter([title, CASE WHEN len(l) > 1 THEN {_TRIM("l[2]", 110)} END, {_TRIM("(title || ': what ' || att || ' report')", 110)}], lambda x: x IS NOT NULL), '|') AS alternate_headlines,
+  least(5, len(list_filter(list_concat([title], [title, CASE WHEN len(l) > 1 THEN {_TRIM("l[2]", 110)} END, {_TRIM("(title || ': what ' || att || ' report')", 110)}]), lambda x: x <> '')))::INTEGER AS n_headlines,
+  CASE WHEN len(l) > 0 THEN array_to_string(sf[1:2], ' ') ELSE title END AS summary, array_to_string(sf, '|') AS summary_facts,
+  concat_ws(chr(10) || chr(10), fact, nullif(array_to_string(l[2:3], ' '), ''), 'Reporting from ' || att || ' describes these developments.', nullif(array_to_string(l[4:5], ' '), ''),
+    'This story was first tracked at an unknown time and is currently marked ' || state || '.') AS body,
+  {_TRIM("coalesce(l[2], fact)")} AS dek, CASE WHEN n >= 2 THEN '' ELSE 'Story is reported by a single source; details remain unconfirmed.' END AS uncertainties,
+  {_TRIM("(fact || ' (via ' || att || ')')", 280)} AS caption,
+  array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(title, '\s+', ' ', 'g')), ' '), lambda w: lower(trim(w, '.,;:!?"''()'))), lambda w: length(w) > 4), lambda w: '#' || w)[1:3], '|') AS hashtags, len(list_distinct(list_transform(l[1:5], lambda x: {_TRIM("x")})))::INTEGER AS n_facts,
+  array_to_string(list_distinct(list_transform(l[1:5], lambda x: {_TRIM("x")})), chr(10)) AS facts FROM f)"""
+
+def _found(prefix: str, drafts: str) -> str:
+    """Findings (a: cluster_id, k for the order of the checks, flag, v) of ``drafts`` (cluster_id, copy), with the evidence (s) and the draft (d).
+
+    Letters beyond ASCII become underscores where word boundaries are looked for, as boundaries are those of ASCII here.
+    """
+    return prefix + rf""", dim AS (SELECT norm, arg_min(lnk.name, (published_us, lnk.id, lnk.name)) AS name FROM lnk JOIN art USING (id) GROUP BY norm),
 enn AS (SELECT cluster_id, list(dim.name ORDER BY mention_count DESC, norm) AS en, list(norm ORDER BY mention_count DESC, norm) AS ek FROM men JOIN dim USING (norm) GROUP BY cluster_id),
 s AS MATERIALIZED (SELECT cluster_id, n, said, ns, pub, coalesce(en, []) AS en, {_PLAIN("array_to_string(list_concat(parts, flatten(list_transform(list_zip(coalesce(en, []), coalesce(ek, [])), lambda z: [z[1], z[2]])), [t.title]), ' ')")} AS corpus
   FROM (SELECT cluster_id, count(*) AS n, string_agg(title || ' ' || excerpt, chr(10) ORDER BY rank) AS said, list(nums) AS ns, list(publisher) AS pub, flatten(list([title, excerpt, publisher] ORDER BY rank)) AS parts FROM ev GROUP BY cluster_id)
   LEFT JOIN enn USING (cluster_id) JOIN art t ON t.id = cluster_id),
-d AS MATERIALIZED (SELECT s.cluster_id, said, pub, en, corpus, content AS copy, list_distinct(list_concat(regexp_extract_all(said, '\b\d[\d,\.]*%?\b'), flatten(ns))) AS sup FROM s JOIN art ON art.id = cluster_id),
+d AS MATERIALIZED (SELECT s.cluster_id, said, pub, en, corpus, copy, list_distinct(list_concat(regexp_extract_all(said, '\b\d[\d,\.]*%?\b'), flatten(ns))) AS sup FROM s JOIN ({drafts}) USING (cluster_id)),
 c0 AS (SELECT cluster_id, corpus, list_concat(list_transform(en, lambda x: {_PLAIN("x")}), list_transform(pub, lambda x: {_PLAIN("x")})) AS names,
   flatten(list_transform(regexp_split_to_array(regexp_replace(copy, '[^\x00-\x7F’“”\x{{85}}\x{{2028}}\x{{2029}}]', '_', 'g'), '[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_extract_all(x, '\b([A-Z][a-zA-Z''’\.]+(?:\s+(?:of|the|and|for|de|van|von)?\s*[A-Z][a-zA-Z''’\.]+){{0,3}})\b', 1))) AS cs FROM d),
 c1 AS (SELECT cluster_id, corpus, names, unnest(cs) AS v, generate_subscripts(cs, 1) AS i FROM c0),
@@ -363,6 +379,9 @@ a AS MATERIALIZED (SELECT cluster_id, 1 AS k, 'LOW_EVIDENCE' AS flag, '' AS v FR
   UNION ALL SELECT cluster_id, 7, 'UNSUPPORTED_URL', u FROM (SELECT cluster_id, unnest(regexp_extract_all(copy, 'https?://[^\s"''<>)\]]+')) AS u FROM d) WHERE NOT starts_with(u, 'https://example.org/a/')
   UNION ALL SELECT cluster_id, 8, 'MISSING_ATTRIBUTION', '' FROM d WHERE NOT ({_MARKS}) AND len(list_filter(pub, lambda p: contains(lower(copy), p))) = 0)"""
 
+
+_FOUND = _found(_story(_EV), "SELECT id AS cluster_id, content AS copy FROM art")
+
 ORACLES = {
     "normalized_pages": rf"""WITH p AS (SELECT page_id, trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title, trim(url) AS url, {_clean("html")} AS clean FROM pages),
 u AS (SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)(?:\?([^#]*))?', ['s', 'h', 'p', 'q']) AS m FROM p),
@@ -390,17 +409,12 @@ SELECT run_id, source_id, count(*) FILTER (outcome <> 'failed') AS articles_foun
   FROM ev x JOIN ev y ON x.cluster_id = y.cluster_id AND x.rank < y.rank WHERE len(x.nums) > 0 AND len(y.nums) > 0 AND NOT list_has_any(x.nums, y.nums)""",
     "evidence_provenance": f"""WITH {BASE}, {_EV} SELECT cluster_id, string_agg(id::VARCHAR, '|' ORDER BY rank) AS article_ids, array_to_string(list_transform(list_sort(list_distinct(list(source_id))), lambda x: x::VARCHAR), '|') AS source_ids,
   array_to_string(list_sort(list_distinct(list(publisher))), '|') AS publishers, count(*)::INTEGER AS n_urls FROM ev GROUP BY cluster_id""",
-    "story_briefs": _story(_EV)
-    + rf""", g AS (SELECT cluster_id, list(lead ORDER BY rank) FILTER (lead <> '') AS l, list_sort(list_distinct(list(publisher))) AS pub, count(*) AS n FROM ev GROUP BY cluster_id),
-b AS (SELECT cluster_id, title, state, coalesce(l, []) AS l, n, array_to_string(pub[1:3], ', ') AS att FROM g JOIN sto USING (cluster_id)),
-f AS (SELECT *, coalesce(l[1], title) AS fact, list_transform(l[1:4], lambda x: {_TRIM("x")}) AS sf FROM b)
-SELECT cluster_id, title AS headline, array_to_string(list_filter([title, CASE WHEN len(l) > 1 THEN {_TRIM("l[2]", 110)} END, {_TRIM("(title || ': what ' || att || ' report')", 110)}], lambda x: x IS NOT NULL), '|') AS alternate_headlines,
-  CASE WHEN len(l) > 0 THEN array_to_string(sf[1:2], ' ') ELSE title END AS summary, array_to_string(sf, '|') AS summary_facts,
-  concat_ws(chr(10) || chr(10), fact, nullif(array_to_string(l[2:3], ' '), ''), 'Reporting from ' || att || ' describes these developments.', nullif(array_to_string(l[4:5], ' '), ''),
-    'This story was first tracked at an unknown time and is currently marked ' || state || '.') AS body,
-  {_TRIM("coalesce(l[2], fact)")} AS dek, CASE WHEN n >= 2 THEN '' ELSE 'Story is reported by a single source; details remain unconfirmed.' END AS uncertainties,
-  {_TRIM("(fact || ' (via ' || att || ')')", 280)} AS caption,
-  array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(title, '\s+', ' ', 'g')), ' '), lambda w: lower(trim(w, '.,;:!?"''()'))), lambda w: length(w) > 4), lambda w: '#' || w)[1:3], '|') AS hashtags FROM f""",
+    "story_briefs": _BRIEFS + " SELECT * EXCLUDE (n_facts, facts, n_headlines) FROM brf",
+    "story_packages": _BRIEFS
+    + r""" SELECT cluster_id, n_headlines, n_facts,
+  length(concat_ws(chr(10), headline, summary, body, caption))::INTEGER AS copy_chars, length(concat_ws(chr(10), headline, dek, body, summary, caption, nullif(facts, '')))::INTEGER AS text_chars FROM brf""",
+    "package_flags": _found(_BRIEFS, "SELECT cluster_id, unnest([concat_ws(chr(10), headline, summary, body, caption), summary, body]) AS copy FROM brf")
+    + " SELECT s.cluster_id, coalesce(array_to_string(list_sort(list(DISTINCT flag) FILTER (flag IS NOT NULL)), '|'), '') AS risk_flags FROM s LEFT JOIN a ON s.cluster_id = a.cluster_id GROUP BY s.cluster_id",
     "payload_audit": "SELECT conv_id, turn, CASE role WHEN 'user' THEN NULL WHEN 'assistant' THEN 'type of key_facts' ELSE 'not an object' END AS error FROM conversations",
     "guard_flags": _FOUND + " SELECT cluster_id, flag, count(*) AS n FROM a GROUP BY ALL",
     "guard_findings": _FOUND
