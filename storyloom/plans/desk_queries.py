@@ -117,13 +117,13 @@ def title_lookups(spark, sf_dir):
 # --- briefs, guard, quality, ledger -----------------------------------------------------------------------------------------------------
 
 
-def _bundles(spark, sf_dir, stories=None):
+def _bundles(spark, sf_dir, stories=None, evidence_only=False):
     from .story_queries import _links
 
     art, src = model.articles(spark, sf_dir), model.sources(spark, sf_dir)
     members, links = model.memberships(art), _links(spark, art)
     mentions = entities.cluster_mentions(links, members).join(entities.entity_dimension(links, art).select("norm", "name"), "norm")
-    return brief.bundles(scored(spark, sf_dir) if stories is None else stories, brief.evidence_articles(members, art, src), mentions)
+    return brief.bundles(scored(spark, sf_dir) if stories is None else stories, brief.evidence_articles(members, art, src), mentions, evidence_only)
 
 
 def _package(spark, sf_dir):
@@ -142,7 +142,7 @@ def evidence_provenance(spark, sf_dir):
 
 
 def evidence_fingerprints(spark, sf_dir):
-    return brief.bundles(scored(spark, sf_dir), brief.evidence_articles(*_members(spark, sf_dir)), evidence_only=True).select("cluster_id", "context_hash")
+    return _bundles(spark, sf_dir, _titles(spark, sf_dir), evidence_only=True).select("cluster_id", "context_hash")
 
 
 def _members(spark, sf_dir):
@@ -415,6 +415,10 @@ SELECT run_id, source_id, count(*) FILTER (outcome <> 'failed') AS articles_foun
   length(concat_ws(chr(10), headline, summary, body, caption))::INTEGER AS copy_chars, length(concat_ws(chr(10), headline, dek, body, summary, caption, nullif(facts, '')))::INTEGER AS text_chars FROM brf""",
     "package_flags": _found(_BRIEFS, "SELECT cluster_id, unnest([concat_ws(chr(10), headline, summary, body, caption), summary, body]) AS copy FROM brf")
     + " SELECT s.cluster_id, coalesce(array_to_string(list_sort(list(DISTINCT flag) FILTER (flag IS NOT NULL)), '|'), '') AS risk_flags FROM s LEFT JOIN a ON s.cluster_id = a.cluster_id GROUP BY s.cluster_id",
+    "evidence_fingerprints": _FOUND
+    + f""", fin AS (SELECT cluster_id, list({{'rank': rank, 'id': ev.id, 'title': ev.title, 'excerpt': excerpt, 'source_id': source_id, 'publisher': publisher, 'publisher_trust': src.trust_level, 'published_us': published_us,
+  'canonical_url': 'https://example.org/a/' || ev.id, 'numbers': nums, 'dates': list_sort(list_distinct(regexp_extract_all(ev.title || ' ' || excerpt, {_DATE_SQL}))), 'lead': lead}} ORDER BY rank) AS articles FROM ev JOIN src ON src.id = source_id GROUP BY cluster_id)
+SELECT cluster_id, sha256(to_json({{'cluster_id': cluster_id, 'title': t.title, 'articles': articles, 'entities': coalesce(ek, [])}})::VARCHAR) AS context_hash FROM fin JOIN art t ON t.id = cluster_id LEFT JOIN enn USING (cluster_id)""",
     "payload_audit": "SELECT conv_id, turn, CASE role WHEN 'user' THEN NULL WHEN 'assistant' THEN 'type of key_facts' ELSE 'not an object' END AS error FROM conversations",
     "guard_flags": _FOUND + " SELECT cluster_id, flag, count(*) AS n FROM a GROUP BY ALL",
     "guard_findings": _FOUND

@@ -1,4 +1,5 @@
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from storyloom.operators import brief, guard, ledger, quality
 
@@ -82,3 +83,42 @@ def test_ledger_reuse_is_idempotent(spark):
     drafts = spark.createDataFrame([(100, 10, 1), (101, 10, 2), (102, 12, 1)], "id long, generation_id long, created_at long")
     reused, to_do = ledger.split_reuse(asked, gens, drafts)
     assert to_do.count() == 0 and {(r.story_cluster_id, r.draft_id) for r in reused.collect()} == {(1, 101), (2, 102)}
+
+
+def test_guard_knows_entities_by_name_and_key(spark):
+    """A candidate is supported by the corpus, or if it overlaps a known name; the first spelling of a form is the one that is shown."""
+    told = "Roe Council spoke. Mayor Ann Poe left. mayor. ann poe and MAYOR: Mayor Ann Poe went."
+    b = bundle(spark, TWO)
+    known = b.withColumn("entities", F.array(F.lit("ann_poe"))).withColumn("entity_names", F.array(F.lit("Ann Poe")))
+    drafts = spark.createDataFrame([(1, told)], "cluster_id long, copy string")
+    said = lambda x: [f.snippet for f in guard.check(drafts, x).first().findings if f.flag == "UNSUPPORTED_ENTITY"]
+    assert "Mayor Ann Poe" in said(b) and "Mayor Ann Poe" not in said(known) and said(known).count("Roe Council") == 1
+    nulls = guard.check(spark.createDataFrame([(1, None), (2, "no bundle")], "cluster_id long, copy string"), b).collect()
+    assert len(nulls) == 1 and "MISSING_ATTRIBUTION" in nulls[0].flags
+
+
+def test_risk_flags_of_a_package(spark):
+    packages = spark.createDataFrame([(1,), (2,), (3,)], "cluster_id long")
+    checked = spark.createDataFrame([(1, ["UNSUPPORTED_URL", "LOW_EVIDENCE"], [1]), (2, [], [])], "cluster_id long, flags array<string>, conflicts array<int>")
+    sections = spark.createDataFrame([(1, "MISSING_ATTRIBUTION"), (1, "LOW_EVIDENCE"), (3, "UNSUPPORTED_DATE")], "cluster_id long, flag string")
+    got = {r.cluster_id: r.risk_flags for r in brief.risk_flags(packages, checked, sections).collect()}
+    assert got == {1: ["LOW_EVIDENCE", "MISSING_ATTRIBUTION", "UNSUPPORTED_URL", "CONFLICTING_SOURCES"], 2: [], 3: ["UNSUPPORTED_DATE"]}
+    assert [r.risk_flags for r in brief.risk_flags(packages, checked).orderBy("cluster_id").collect()] == [["LOW_EVIDENCE", "UNSUPPORTED_URL", "CONFLICTING_SOURCES"], [], []]
+
+
+def test_quality_notes(spark):
+    b = bundle(spark, [(1, 1, "A", "Toll is 10", 10), (2, 2, "B", "Toll is 20", 20)])
+    draft = spark.createDataFrame([Row(copy="Toll is 10, Metro Daily reports. It rose.", headline="Shocking: you won't believe this historic secret")])
+    q = quality.assess(guard.check(b.crossJoin(draft), b), "ARTICLE", sections={"headline": "headline", "body": "copy"}).first()
+    assert q.quality_notes == [
+        "evidence_coverage: 2 of 2 cluster articles used.",
+        f"factual_support: {len(q.findings)} guard finding(s) across 8 words.",
+        "attribution: 1/2 publishers credited in copy, attribution language present",
+        "completeness: Sections present: ['headline', 'body'].",
+        "clarity: Average sentence length 4.0 words; 0 overly long.",
+        "headline_quality: clickbait terms [\"you won't believe\", 'shocking', 'secret']; unsupported superlatives ['historic']",
+        f"risk_level: {len(q.findings)} active risk finding(s).",
+        f"Hard penalty -8 applied for unresolved flags {sorted(q.flags)}.",
+    ]
+    blank = quality.assess(guard.check(b.crossJoin(spark.createDataFrame([("", "")], "copy string, headline string")), b), "PACKAGE").first()
+    assert blank.quality_notes[1:6] == ["factual_support: No generated text to evaluate.", "attribution: 0/2 publishers credited in copy", "completeness: No structural requirements.", "clarity: No sentences to evaluate.", "headline_quality: No headline."]
