@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cluster import greedy_clusters
+from ..operators.cluster import HOUR, WINDOW_HOURS, cluster_table, greedy_clusters
 from ..operators.dedup import against_history
 from ..operators.normalize import normalize_entries
 from ..sources.feeds import parse_feeds
@@ -28,15 +29,25 @@ def valid_articles(payloads: DataFrame) -> DataFrame:
     return articles.withWatermark("fetched_at", LATENESS).dropDuplicatesWithinWatermark(["content_hash"])
 
 
+def stored_rows(spark, store: str) -> DataFrame | None:
+    """The table in ``store``, or none if nothing was written there yet."""
+    try:
+        return spark.read.parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def ingest(articles: DataFrame, store: str, checkpoint: str):
     """Append what the store doesn't have yet, batch by batch; a repeated batch or poll appends nothing."""
 
     def append(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         batch = batch.dropDuplicates(["content_hash"])
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(store)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            batch = against_history(batch, spark.read.parquet(store))
+        history = stored_rows(spark, store)
+        if history is not None:
+            batch = against_history(batch, history)
         batch.write.mode("append").parquet(store)
 
     return articles.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -46,17 +57,51 @@ def last_fetched(payloads: DataFrame) -> DataFrame:
     return payloads.groupBy("source_id").agg(F.max("fetched_at").alias("last_fetched_at"))
 
 
+def _in_time(articles: DataFrame, time_col: str) -> DataFrame:
+    return articles.withWatermark(time_col, LATENESS) if articles.isStreaming else articles
+
+
 def coverage_windows(articles: DataFrame, length: str = "6 hours", slide: str | None = None, time_col: str = "published_at") -> DataFrame:
-    """Articles per category in tumbling or sliding windows (R4); on a stream, add a watermark first."""
+    """Articles per category in tumbling or sliding windows (R4); of a stream, rows up to the lateness behind the newest count."""
     w = F.window(time_col, length, slide) if slide else F.window(time_col, length)
-    return articles.groupBy(w, "category").agg(F.count(F.lit(1)).alias("articles"))
+    return _in_time(articles, time_col).groupBy(w, "category").agg(F.count(F.lit(1)).alias("articles"))
 
 
 def story_sessions(articles: DataFrame, gap: str = LATENESS, key: str = "cluster_id", time_col: str = "published_at") -> DataFrame:
-    """Spans of coverage of a story without a break of ``gap``."""
-    return articles.groupBy(F.session_window(time_col, gap), key).agg(F.count(F.lit(1)).alias("articles"))
+    """Spans of coverage of a story without a break of ``gap`` (R5); of a stream, a span is given out once it cannot grow any more."""
+    return _in_time(articles, time_col).groupBy(F.session_window(time_col, gap), key).agg(F.count(F.lit(1)).alias("articles"))
 
 
 def assign_batch(articles: DataFrame, history: DataFrame, links: DataFrame) -> DataFrame:
-    """Incremental clustering for ``foreachBatch`` (R6): stored links are fixed, new articles join or seed clusters."""
+    """Incremental clustering (R6): stored links are fixed, new articles join or seed clusters (C6, C8). ``history`` holds whole clusters."""
     return greedy_clusters(history.unionByName(articles), links)
+
+
+def open_history(batch: DataFrame, stored: DataFrame, window_hours: int = WINDOW_HOURS) -> DataFrame:
+    """Rows of ``stored`` (articles with cluster_id) in clusters that an article of ``batch`` can still reach: their time bounds, a window wider,
+    meet the batch's. The bounds of a batch are one row; a cluster seeded within the batch reaches no further."""
+    span = batch.agg(F.min("published_us").alias("lo"), F.max("published_us").alias("hi"))
+    width = window_hours * HOUR
+    bounds = cluster_table(stored, stored).select("cluster_id", "first_us", "last_us")
+    near = bounds.join(F.broadcast(span), (F.col("last_us") >= F.col("lo") - width) & (F.col("first_us") <= F.col("hi") + width)).select("cluster_id")
+    return stored.join(near, "cluster_id", "left_semi")
+
+
+def cluster_stream(articles: DataFrame, store: str, checkpoint: str):
+    """Assign a stream of articles (id, title, category, published_us) batch by batch; ``store`` gets id, title, category, published_us, cluster_id,
+    similarity and method of every new article in one append, and articles that it has are left out, so a repeated batch adds nothing (R6)."""
+    columns = ["id", "title", "category", "published_us"]
+
+    def assign(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        stored = stored_rows(spark, store)
+        new = batch.select(*columns).dropDuplicates(["id"])
+        if stored is None:
+            links = greedy_clusters(new)
+        else:
+            new = new.join(stored.select("id"), "id", "left_anti").select(*columns)
+            kept = open_history(new, stored)
+            links = assign_batch(new, kept.select(*columns), kept.select("id", "cluster_id")).where("method <> 'kept'")
+        new.join(links, "id").write.mode("append").parquet(store)
+
+    return articles.writeStream.foreachBatch(assign).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

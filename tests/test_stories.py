@@ -156,3 +156,17 @@ def test_prefix_filter_finds_all_pairs(spark):
 def test_empty_tables(spark):
     articles = spark.createDataFrame([], "id long, title string, category string, published_us long")
     assert cluster.greedy_clusters(articles).count() == 0
+
+
+def test_rescoring_touches_only_what_it_is_given(spark):
+    day = 86_400_000_000
+    articles = spark.createDataFrame([(1, 1, "A", 0), (2, 2, "A", day), (3, 1, "B", day)], "id long, source_id long, title string, published_us long")
+    sources = spark.createDataFrame([(1, "high"), (2, "low")], "id long, trust_level string")
+    clusters = spark.createDataFrame([(1, "world"), (3, "general")], "cluster_id long, category string")
+    members = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "cluster_id long, id long")
+    mentions = spark.createDataFrame([(1, "x"), (3, "y")], "cluster_id long, entity string")
+    every = score.score_clusters(clusters, members, articles, sources, mentions, day)
+    touched = spark.createDataFrame([(1,), (1,), (None,), (77,)], "cluster_id long")
+    some = score.rescore_clusters(touched, clusters, members, articles, sources, mentions, day)
+    assert [tuple(r) for r in some.collect()] == [tuple(r) for r in every.where("cluster_id = 1").collect()] and some.first().article_count == 2
+    assert score.rescore_clusters(touched.limit(0), clusters, members, articles, sources, None, day).count() == 0

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from storyloom.operators import cluster
 from storyloom.streaming import flow
 
 from .test_feeds import payloads
@@ -33,3 +34,34 @@ def test_incremental_clusters(spark):
     links = spark.createDataFrame([(1, 1)], "id long, cluster_id long")
     got = {r.id: (r.cluster_id, r.method) for r in flow.assign_batch(new, old, links).collect()}
     assert got == {1: (1, "kept"), 2: (1, "lexical"), 3: (3, "seed")}
+
+
+def test_cluster_stream_equals_one_pass(spark, tmp_path):
+    """Batches in time order give the clusters of one pass over everything, also after a repeated batch; far older stories are not read."""
+    schema, day = "id long, title string, category string, published_us long", 86_400_000_000
+    rows = [(1, "council approves transit plan", "world", 0), (2, "council approves new transit plan", "world", 10), (3, "storm floods coast towns", "world", day), (4, "storm floods more coast towns", "general", 2 * day), (5, "council approves transit plan", "world", 9 * day)]
+    land, store = str(tmp_path / "land"), str(tmp_path / "store")
+    for batch in (rows[:1], rows[1:3], rows[1:3], rows[3:]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(land)
+        q = flow.cluster_stream(spark.readStream.schema(schema).parquet(land), store, str(tmp_path / "state"))
+        q.awaitTermination(120)
+        assert q.exception() is None
+    got = spark.read.parquet(store)
+    assert got.count() == 5 and {r.id: r.cluster_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert {r.id: r.cluster_id for r in cluster.greedy_clusters(spark.createDataFrame(rows, schema)).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    near = flow.open_history(spark.createDataFrame(rows[4:], schema).where("id = 5"), got.where("id < 5"))
+    assert near.count() == 0
+
+
+def test_windows_and_sessions_of_a_stream(spark, tmp_path):
+    """What a watermarked stream gives out is what the batch gives, but for spans that the watermark has not passed."""
+    rows = [(1, "world", 0), (1, "world", 5), (1, "world", 60), (2, "world", 7), (9, "late", 1000)]
+    a = spark.createDataFrame(rows, "cluster_id long, category string, h long").withColumn("published_at", F.timestamp_seconds(F.col("h") * 3600))
+    land = str(tmp_path / "land")
+    a.coalesce(1).write.parquet(land)
+    for name, of in (("w", flow.coverage_windows), ("s", flow.story_sessions)):
+        q = of(spark.readStream.schema(a.schema).parquet(land)).writeStream.format("memory").queryName(f"out_{name}").outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        got = {tuple(r) for r in spark.table(f"out_{name}").collect()}
+        assert got == {tuple(r) for r in of(a.where("h < 1000")).collect()}
