@@ -1,37 +1,92 @@
-"""Connected components and ordered greedy passes over them."""
+"""Tables in the shared folder, and connected components of an edge table."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Nodes with more neighbours are looked up apart from the others where the labels are too many to broadcast.
+HOT_DEGREE = 10_000
+SALTS = 16
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the folder that the cluster names in spark.checkpoint.dir (a temporary one only where it is unset) and read back."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = tempfile.mkdtemp(prefix="storyloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/stories/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local session (tests) without one gets a temporary folder, a cluster must name one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="storyloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component) for the nodes of ``edges`` (a, b): least labels of neighbours, then the label's label, until nothing changes."""
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/storyloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, name: str, compression: str = "zstd", path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read back: survives lost executors and cuts the lineage."""
+    path = path or new_path(df.sparkSession, name)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more; where the session has no handle on the file system it stays."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(id, component): for every node of ``edges`` (a, b) the smallest id that it reaches.
+
+    Each round takes the least label of the neighbours and then the label of that label, so paths halve. Every round is written to the shared
+    folder and the round before it deleted. Labels of at most ``broadcast_rows`` nodes (16 bytes each) are broadcast. More are joined by shuffles:
+    nodes of over ``HOT_DEGREE`` neighbours are joined apart, and members look their component's label up by salted keys, so neither the centre of a
+    star nor a component of a third of all rows meets in one task. The least label of a node is pre-aggregated before its shuffle.
+    """
+    spark = edges.sparkSession
+    paths = {x: new_path(spark, f"{name}-{x}") for x in ("edges", "hot", "labels")}
     e = edges.select("a", "b").where("a <> b")
-    e = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    e = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name, path=paths["edges"])
+    labels = stored(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name, path=paths["labels"])
+    light, hot = labels.count() <= broadcast_rows, None
+    if not light:
+        hot = stored(e.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_DEGREE).select("b"), name, path=paths["hot"])
+        hot = hot if 0 < hot.count() <= broadcast_rows else None
     for _ in range(most_rounds):
-        near = e.join(labels, e.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        up = step.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = stored(step.join(up, "component").select("id", "old", F.col("up").alias("component")), "labels")
+        if light:
+            seen = e.join(F.broadcast(labels), e.b == labels.id)
+        elif hot is None:
+            seen = e.join(labels, e.b == labels.id)
+        else:
+            cold = e.join(F.broadcast(hot), "b", "left_anti")
+            centres = labels.join(F.broadcast(hot), labels.id == hot.b, "left_semi")
+            seen = cold.join(labels, cold.b == labels.id).select("a", "component").unionByName(e.join(F.broadcast(centres), e.b == centres.id).select("a", "component"))
+        both = seen.select(F.col("a").alias("id"), "component", F.lit(None).cast("long").alias("old")).unionByName(labels.select("id", "component", F.col("component").alias("old")))
+        step = both.groupBy("id").agg(F.min("component").alias("component"), F.max("old").alias("old"))
+        done = [paths["labels"]]
+        paths["labels"] = new_path(spark, f"{name}-labels")
+        up = lambda s: s.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("up"))
+        if light:
+            jumped = step.join(F.broadcast(up(step)), "component", "left")
+        else:
+            done += [new_path(spark, f"{name}-step")]
+            step = stored(step, name, path=done[-1])
+            used = up(step).join(step.select("component").distinct(), "component", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            jumped = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(used, ["component", "salt"], "left")
+        new = stored(jumped.select("id", "old", F.coalesce("up", "component").alias("component")), name, path=paths["labels"])
+        for path in done:
+            discard(spark, path)
         labels = new.select("id", "component")
         if not new.where("old <> component").limit(1).count():
+            for x in ("edges", "hot"):
+                discard(spark, paths[x])
             return labels
     raise RuntimeError("the component labels have not settled")
