@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Nodes with more neighbours are looked up apart from the others where the labels are too many to broadcast.
-HOT_DEGREE = 10_000
+#: A key is hot with more rows than this and than a hundred-thousandth of all rows, so at most 100,000 keys of a table are hot.
+HOT_ROWS = 1_000
 SALTS = 16
 
 
@@ -43,12 +43,24 @@ def discard(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def hot_rows(total: int) -> int:
+    return max(HOT_ROWS, total // 100_000)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``table``, whose ``keys`` are unique; rows with one of the ``hot`` keys (at most 100,000, see ``HOT_ROWS``) look it up
+    in a broadcast part of ``table``, so they stay where they are, and only the others are shuffled."""
+    hot = F.broadcast(hot.select(*keys))
+    apart = rows.join(hot, keys, "left_semi").join(F.broadcast(table.join(hot, keys, "left_semi")), keys, "left")
+    return rows.join(hot, keys, "left_anti").join(table, keys, "left").unionByName(apart)
+
+
 def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, component): for every node of ``edges`` (a, b) the smallest id that it reaches.
 
     Each round takes the least label of the neighbours and then the label of that label, so paths halve. Every round is written to the shared
     folder and the round before it deleted. Labels of at most ``broadcast_rows`` nodes (16 bytes each) are broadcast. More are joined by shuffles:
-    nodes of over ``HOT_DEGREE`` neighbours are joined apart, and members look their component's label up by salted keys, so neither the centre of a
+    nodes with hot numbers of neighbours are joined apart, and members look their component's label up by salted keys, so neither the centre of a
     star nor a component of a third of all rows meets in one task. The least label of a node is pre-aggregated before its shuffle.
     """
     spark = edges.sparkSession
@@ -58,8 +70,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     labels = stored(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name, path=paths["labels"])
     light, hot = labels.count() <= broadcast_rows, None
     if not light:
-        hot = stored(e.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_DEGREE).select("b"), name, path=paths["hot"])
-        hot = hot if 0 < hot.count() <= broadcast_rows else None
+        hot = stored(e.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows(e.count())).select("b"), name, path=paths["hot"])
+        hot = hot if hot.count() else None
     for _ in range(most_rounds):
         if light:
             seen = e.join(F.broadcast(labels), e.b == labels.id)
