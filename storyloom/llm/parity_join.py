@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .scratch import materialize, semi_join, unused
+from ..operators.graph import components as connected_components
+from .scratch import hot_rows, join_hot, materialize, semi_join, unused
 from .textops import U64, Words, as_long, chunks, distinct_shingles, mix64, runs
 
 BLOCK_BITS = 4096
@@ -236,9 +236,11 @@ def similarity_links(docs: DataFrame, k: int = 5, threshold: Threshold = Thresho
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     sketched = materialize(rows.mapInArrow(_sketches(k, threshold), "id long, n_shingles long, fp1 long, fp2 long, block_keys array<long>, sketch binary"), "parity-sketches")
-    groups = sketched.where("n_shingles > 0").groupBy("n_shingles", "fp1", "fp2").agg(F.min("id").alias("representative"))
-    whole = sketched.select("id", "n_shingles", "fp1", "fp2")
-    members = materialize(whole.join(groups, ["n_shingles", "fp1", "fp2"], "left").groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.coalesce("representative", "id")).alias("representative")), "parity-members")
+    equal = ["n_shingles", "fp1", "fp2"]
+    groups = sketched.where("n_shingles > 0").groupBy(*equal).agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("copies"))
+    groups = materialize(groups.where("copies > 1"), "parity-groups")
+    hot = groups.where(F.col("copies") > hot_rows(sketched.count()))
+    members = materialize(join_hot(sketched.select("id", *equal), groups.drop("copies"), equal, hot).groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.coalesce("representative", "id")).alias("representative")), "parity-members")
     reps = members.where("id = representative and n_shingles > 0").select("id")
     heads = materialize(sketched.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "block_keys", "sketch"), "parity-heads")
     keyed = heads.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode("block_keys").alias("key"))
@@ -267,7 +269,7 @@ def similarity_links(docs: DataFrame, k: int = 5, threshold: Threshold = Thresho
     cross = cross.join(links.select("a", "b"), ["a", "b"], "left_anti")
     links = links.unionByName(verify(cross, "parity-cross"))
     labels = connected_components(links, "parity")
-    joined = members.join(labels.withColumnRenamed("id", "representative"), "representative", "left")
+    joined = join_hot(members, labels.withColumnRenamed("id", "representative"), ["representative"], hot)
     return links, joined.select("id", "representative", "n_shingles", F.coalesce("component", "representative").alias("component"))
 
 
