@@ -83,3 +83,32 @@ def test_toxicity_edge_cases(spark):
     assert len({round(r.score, 6) for r in toxicity.score(odd, chain).collect()}) == 1
     assert toxicity.score(odd.limit(0), chain).count() == 0
     assert toxicity.train(d.limit(0), labels.limit(0)).curve[0] < 0
+
+
+def test_marginals_equal_enumerated_chains():
+    from itertools import product
+
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    length = np.array([1, 5, 3, 8])
+    first = np.cumsum(length) - length
+    e, a, start = r.normal(size=length.sum()), r.uniform(0.2, 3, (2, 2)), 0.3
+    fw, bw, _ = toxicity._odds(e, first, length, a, start)
+    got = fw * bw / (1 + fw * bw)
+    for at, n in zip(first, length, strict=True):
+        total, toxic = 0.0, np.zeros(n)
+        for y in product((0, 1), repeat=int(n)):
+            w = start ** y[0] * np.exp(sum(e[at + i] for i in range(n) if y[i])) * np.prod([a[y[i], y[i + 1]] for i in range(n - 1)])
+            total += w
+            toxic += w * np.array(y)
+        assert np.allclose(got[at : at + n], toxic / total, atol=1e-12)
+
+
+def test_scores_of_repeated_ids_long_texts_and_clashing_columns(spark):
+    long_ = " ".join(f"w{i % 977}" for i in range(120_000))
+    rows = docs(spark, [(1, "a b c"), (1, "a b c"), (2, long_), (3, None), (3, "")]).selectExpr("*", "1 as key", "2 as id", "3 as score", "4 as n_tokens")
+    out = kneser_ney.score(rows.select("doc_id", "text"), kneser_ney.train(rows)).collect()
+    got = sorted((r.doc_id, r.n_tokens) for r in out)
+    assert got == [(1, 4), (1, 4), (2, 120_001), (3, 1), (3, 1)]
+    assert len({r.score for r in out if r.doc_id == 1}) == 1 and len({r.score for r in out if r.doc_id == 3}) == 1

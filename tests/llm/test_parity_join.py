@@ -1,6 +1,7 @@
 import pytest
 
 from storyloom.llm import parity_join
+from storyloom.operators import graph
 
 from .helpers import docs, near_copies, words
 
@@ -64,3 +65,12 @@ def test_clashing_columns_and_repeated_ids(spark):
     df = docs(spark, [(1, text), (2, text), (2, text), (3, None), (None, text)]).selectExpr("*", "1 as gone", "2 as q_gone", "3 as _gone", "4 as id", "5 as component_id")
     out = parity_join.drop_near_duplicates(df)
     assert out.columns == df.columns and sorted((r.doc_id or -1) for r in out.collect()) == [-1, 1, 3]
+
+
+def test_hot_copies_equal_brute_force(spark, monkeypatch):
+    """Every set of two or more copies is looked up as a hot one; a very long text is whole."""
+    monkeypatch.setattr(graph, "HOT_ROWS", 1)
+    rows = near_copies(11, 30)
+    rows += [(1000 + i, rows[0][1]) for i in range(25)] + [(2000 + i, " ".join(f"x{j}" for j in range(60_000 + 500 * i))) for i in range(2)]
+    out = parity_join.jaccard_components(docs(spark, rows), 4, parity_join.Threshold(85, 100))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(rows, 4, 85, 100)

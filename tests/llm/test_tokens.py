@@ -92,3 +92,42 @@ def test_packing_round_trip(spark):
     assert all(len(bytes(r.ids)) == 4 * r.n_tokens for r in seqs.collect())
     _, none = packing.pack_documents(docs(spark, []), WORD)
     assert none.count() == 0
+
+
+def test_plan_against_best_fit_of_each_document():
+    """Counts are dealt level by level over sequences of equal space, so a plan may rarely need one sequence more than placing each document."""
+    r = random.Random(9)
+    for _ in range(300):
+        capacity = r.randint(5, 60)
+        lengths = sorted((r.randint(1, capacity) for _ in range(r.randint(0, 120))), reverse=True)
+        free: list = []
+        for n in lengths:
+            fits = [(space, i) for i, space in enumerate(free) if space >= n]
+            if fits:
+                free[min(fits)[1]] -= n
+            else:
+                free.append(capacity - n)
+        filled: dict = {}
+        for n, lo, hi, first, _ in packing.plan({n: lengths.count(n) for n in set(lengths)}, capacity):
+            for k in range(hi - lo):
+                filled[first + k] = filled.get(first + k, 0) + n
+        assert sum(filled.values()) == sum(lengths) and max(filled.values(), default=0) <= capacity
+        assert 0 <= len(filled) - len(free) <= 1
+
+
+def test_repeated_ids_long_texts_and_clashing_columns(spark, tmp_path):
+    long_ = " ".join(f"word{i % 977}" for i in range(80_000))
+    df = docs(spark, [(5, "a b"), (5, "a b"), (2, long_), (None, None)]).selectExpr("*", "1 as id", "2 as value", "3 as start", "4 as length", "5 as piece")
+    path = str(tmp_path / "odd")
+    token_records.write_records(df, path, BYTE, end_id=2)
+    got = sorted(token_records.read_sequences(spark, path).collect(), key=lambda x: x.start)
+    count = {t: len(encoder(BYTE).tokenizer.encode(t, add_special_tokens=False).ids) + 1 for t in ("a b", "", long_)}
+    assert [(x.id, x.n_tokens) for x in got] == [(None, count[""]), (2, count[long_]), (5, count["a b"]), (5, count["a b"])]
+    _, places = packing.pack_documents(df.where("doc_id is not null"), WORD, end_id=0, capacity=2048)
+    n = len(encoder(WORD).tokenizer.encode(long_, add_special_tokens=False).ids) + 1
+    rows = places.collect()
+    assert sum(x.length for x in rows if x.id == 2) == n and sum(x.id == 5 for x in rows) == 2
+    used: dict = {}
+    for x in sorted(rows, key=lambda x: (x.sequence_id, x.offset)):
+        assert used.setdefault(x.sequence_id, 0) == x.offset
+        used[x.sequence_id] += x.length
