@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: A key is hot with more rows than this and than a hundred-thousandth of all rows, so at most 100,000 keys of a table are hot.
 HOT_ROWS = 1_000
-SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,50 +54,69 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], hot: DataFrame)
     return rows.join(hot, keys, "left_anti").join(table, keys, "left").unionByName(apart)
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(id, component): for every node of ``edges`` (a, b) the smallest id that it reaches.
+class Scratch:
+    """Stored tables of one operator; ``close`` deletes them once what is given out does not read them any more."""
 
-    Each round takes the least label of the neighbours and then the label of that label, so paths halve. Every round is written to the shared
-    folder and the round before it deleted. Labels of at most ``broadcast_rows`` nodes (16 bytes each) are broadcast. More are joined by shuffles:
-    nodes with hot numbers of neighbours are joined apart, and members look their component's label up by salted keys, so neither the centre of a
-    star nor a component of a third of all rows meets in one task. The least label of a node is pre-aggregated before its shuffle.
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, f"{self.name}-{name}"))
+        return stored(df, name, path=self.paths[-1])
+
+    def close(self) -> None:
+        while self.paths:
+            discard(self.spark, self.paths.pop())
+
+
+def _look_up(rows: DataFrame, table: DataFrame, key: str, light: bool, scratch: Scratch) -> DataFrame:
+    """``rows`` left-joined with ``table`` (unique ``key``), broadcast if ``light``, else with the hot keys of ``rows`` joined apart."""
+    if light:
+        return rows.join(F.broadcast(table), key, "left")
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    hot = scratch.put(counts.where(F.col("n") > hot_rows(rows.count())).select(key), "hot")
+    return join_hot(rows, table, [key], hot) if hot.count() else rows.join(table, key, "left")
+
+
+def components(edges: DataFrame, name: str = "components", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(id, component): for every node of ``edges`` (a, b) the smallest id that it reaches. Loops and edges with a null end count for nothing.
+
+    Randomised contraction: in each round every node is represented by the node within two steps of it whose salted hash is least, ends are
+    replaced by their representatives, and loops and repeated edges go. Which nodes are close does not depend on their ids, so a path shrinks
+    to about a third in a round however it is numbered, a star to one node, and a component of n nodes takes some log n rounds; the edges
+    that are left shrink likewise, so all rounds together read a multiple of the first. At the end the maps of the rounds are composed from the last one
+    back, and every component gets its least id. There is no cap on rounds: at least one node of every component goes in each.
+
+    Every round is a table in the shared folder; all but the result are deleted. Rounds with at most ``broadcast_rows`` nodes (16 bytes each)
+    broadcast their maps. Larger ones are joined by shuffles with hot nodes and hot components apart (``join_hot``), and the least hash of
+    a node is pre-aggregated, so neither the centre of a star nor a component of a third of all nodes meets in one task.
     """
     spark = edges.sparkSession
-    paths = {x: new_path(spark, f"{name}-{x}") for x in ("edges", "hot", "labels")}
-    e = edges.select("a", "b").where("a <> b")
-    e = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name, path=paths["edges"])
-    labels = stored(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), name, path=paths["labels"])
-    light, hot = labels.count() <= broadcast_rows, None
-    if not light:
-        hot = stored(e.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows(e.count())).select("b"), name, path=paths["hot"])
-        hot = hot if hot.count() else None
-    for _ in range(most_rounds):
-        if light:
-            seen = e.join(F.broadcast(labels), e.b == labels.id)
-        elif hot is None:
-            seen = e.join(labels, e.b == labels.id)
-        else:
-            cold = e.join(F.broadcast(hot), "b", "left_anti")
-            centres = labels.join(F.broadcast(hot), labels.id == hot.b, "left_semi")
-            seen = cold.join(labels, cold.b == labels.id).select("a", "component").unionByName(e.join(F.broadcast(centres), e.b == centres.id).select("a", "component"))
-        both = seen.select(F.col("a").alias("id"), "component", F.lit(None).cast("long").alias("old")).unionByName(labels.select("id", "component", F.col("component").alias("old")))
-        step = both.groupBy("id").agg(F.min("component").alias("component"), F.max("old").alias("old"))
-        done = [paths["labels"]]
-        paths["labels"] = new_path(spark, f"{name}-labels")
-        up = lambda s: s.where("id <> component").select(F.col("id").alias("component"), F.col("component").alias("up"))
-        if light:
-            jumped = step.join(F.broadcast(up(step)), "component", "left")
-        else:
-            done += [new_path(spark, f"{name}-step")]
-            step = stored(step, name, path=done[-1])
-            used = up(step).join(step.select("component").distinct(), "component", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            jumped = step.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(used, ["component", "salt"], "left")
-        new = stored(jumped.select("id", "old", F.coalesce("up", "component").alias("component")), name, path=paths["labels"])
-        for path in done:
-            discard(spark, path)
-        labels = new.select("id", "component")
-        if not new.where("old <> component").limit(1).count():
-            for x in ("edges", "hot"):
-                discard(spark, paths[x])
-            return labels
-    raise RuntimeError("the component labels have not settled")
+    scratch, maps, turn = Scratch(spark, name), [], 0
+    ends = lambda df, a, b: df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    left = scratch.put(ends(edges, "a", "b"), "edges-0")
+    while n := left.count():
+        light = 2 * n <= broadcast_rows
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        rank = lambda c, salt=turn: F.xxhash64(F.lit(salt), c)
+        near = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("m"))
+        near = near.select(F.col("a").alias("b"), F.when(rank("m") < rank("a"), F.col("m")).otherwise(F.col("a")).alias("m"))
+        near = near if light else scratch.put(near, f"near-{turn}")
+        # a node is a neighbour of its neighbours, so what is least around them covers what is least around itself
+        seen = _look_up(both, near, "b", light, scratch)
+        maps.append(scratch.put(seen.groupBy(F.col("a").alias("id")).agg(F.min_by("m", rank("m")).alias("up")), f"map-{turn}"))
+        for end in ("a", "b"):
+            left = _look_up(left, maps[-1].select(F.col("id").alias(end), F.col("up").alias(f"{end}_up")), end, light, scratch)
+        left, turn = scratch.put(ends(left, "a_up", "b_up"), f"edges-{turn + 1}"), turn + 1
+    tops = maps.pop() if maps else left.select(F.col("a").alias("id"), F.col("b").alias("up"))
+    for below in reversed(maps):
+        light = tops.count() <= broadcast_rows
+        tops = _look_up(below, tops.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", light, scratch).select("id", F.coalesce("top", "up").alias("up"))
+        tops = tops if light else scratch.put(tops, "tops")
+    tops = scratch.put(tops, "tops")
+    least = tops.groupBy("up").agg(F.min("id").alias("component"))
+    light = tops.count() <= broadcast_rows
+    labels = _look_up(tops, least if light else scratch.put(least, "least"), "up", light, scratch)
+    labels = stored(labels.select("id", "component"), name, path=new_path(spark, f"{name}-labels"))
+    scratch.close()
+    return labels
