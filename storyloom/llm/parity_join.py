@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components as connected_components
-from .scratch import hot_rows, join_hot, materialize, semi_join, unused
+from .scratch import Scratch, hot_rows, join_hot, materialize, semi_join, unused
 from .textops import U64, Words, as_long, chunks, distinct_shingles, mix64, runs
 
 BLOCK_BITS = 4096
@@ -234,43 +234,46 @@ def similarity_links(docs: DataFrame, k: int = 5, threshold: Threshold = Thresho
     every link that is needed to connect each component. ``members`` (id, representative, n_shingles, component) has one row per distinct
     non-null id. Null, empty and word-less texts have no shingles: they are their own representative and component.
     """
+    scratch = Scratch(docs.sparkSession, "parity")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    sketched = materialize(rows.mapInArrow(_sketches(k, threshold), "id long, n_shingles long, fp1 long, fp2 long, block_keys array<long>, sketch binary"), "parity-sketches")
+    sketched = scratch.put(rows.mapInArrow(_sketches(k, threshold), "id long, n_shingles long, fp1 long, fp2 long, block_keys array<long>, sketch binary"), "sketches")
     equal = ["n_shingles", "fp1", "fp2"]
     groups = sketched.where("n_shingles > 0").groupBy(*equal).agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("copies"))
-    groups = materialize(groups.where("copies > 1"), "parity-groups")
+    groups = scratch.put(groups.where("copies > 1"), "groups")
     hot = groups.where(F.col("copies") > hot_rows(sketched.count()))
-    members = materialize(join_hot(sketched.select("id", *equal), groups.drop("copies"), equal, hot).groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.coalesce("representative", "id")).alias("representative")), "parity-members")
+    members = scratch.put(join_hot(sketched.select("id", *equal), groups.drop("copies"), equal, hot).groupBy("id").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.coalesce("representative", "id")).alias("representative")), "members")
     reps = members.where("id = representative and n_shingles > 0").select("id")
-    heads = materialize(sketched.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "block_keys", "sketch"), "parity-heads")
+    heads = scratch.put(sketched.join(reps, "id", "left_semi").dropDuplicates(["id"]).select("id", "n_shingles", "block_keys", "sketch"), "heads")
     keyed = heads.select("id", F.col("n_shingles").cast("int").alias("n"), F.explode("block_keys").alias("key"))
     leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.min_by("n", "id").alias("nl"), F.max("id").alias("last")).where("leader < last").select("key", "leader", "nl")
-    buckets = materialize(keyed.join(leaders, "key").select("key", "id", "n", "leader", "nl"), "parity-buckets")
+    buckets = scratch.put(keyed.join(leaders, "key").select("key", "id", "n", "leader", "nl"), "buckets")
     fits = f"least(na, nb) * {threshold.den} >= greatest(na, nb) * {threshold.num}"
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda x: heads.select(F.col("id").alias(x), F.col("sketch").alias(f"s{x}"))
-        near = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(threshold), "a long, b long"), f"{name}-near")
+        near = scratch.put(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(threshold), "a long, b long"), f"{name}-near")
         wanted = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id")))
-        sets = materialize(semi_join(rows, wanted, "id").mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"]), f"{name}-sets")
+        sets = scratch.put(semi_join(rows, wanted, "id").mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"]), f"{name}-sets")
         left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"p{x}")) for x in "ab")
-        return materialize(near.join(left, "a").join(right, "b").mapInArrow(_verified(threshold), "a long, b long, n_both long, n_either long"), f"{name}-links")
+        return scratch.put(near.join(left, "a").join(right, "b").mapInArrow(_verified(threshold), "a long, b long, n_both long, n_either long"), f"{name}-links")
 
     star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b"), F.col("nl").alias("na"), F.col("n").alias("nb")).where(fits).distinct()
-    links = verify(star, "parity-star")
+    links = verify(star, "star")
     labels = connected_components(links, "parity-star")
     open_ = buckets.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     mixed = open_.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("key", "members")
-    open_ = materialize(open_.join(mixed, "key"), "parity-open")
+    open_ = scratch.put(open_.join(mixed, "key"), "open")
     small = open_.where(f"members <= {SMALL_BUCKET}")
     x, y = small.alias("x"), small.alias("y")
     cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & F.expr(f"least(x.n, y.n) * {threshold.den} >= greatest(x.n, y.n) * {threshold.num}"))
     cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).unionByName(_tiled(open_.where(f"members > {SMALL_BUCKET}"), heads, threshold)).distinct()
     cross = cross.join(links.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(verify(cross, "parity-cross"))
+    links = materialize(links.unionByName(verify(cross, "cross")), "parity-links")
     labels = connected_components(links, "parity")
     joined = join_hot(members, labels.withColumnRenamed("id", "representative"), ["representative"], hot)
-    return links, joined.select("id", "representative", "n_shingles", F.coalesce("component", "representative").alias("component"))
+    joined = materialize(joined.select("id", "representative", "n_shingles", F.coalesce("component", "representative").alias("component")), "parity-components")
+    scratch.close()
+    return links, joined
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.graph import hot_rows, join_hot, new_path, stored as materialize  # noqa: F401
+from ..operators.graph import Scratch, hot_rows, join_hot, new_path, stored as materialize  # noqa: F401
 
 
 def local_path(path: str) -> str:

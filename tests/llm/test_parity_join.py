@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from storyloom.llm import parity_join
@@ -74,3 +76,14 @@ def test_hot_copies_equal_brute_force(spark, monkeypatch):
     rows += [(1000 + i, rows[0][1]) for i in range(25)] + [(2000 + i, " ".join(f"x{j}" for j in range(60_000 + 500 * i))) for i in range(2)]
     out = parity_join.jaccard_components(docs(spark, rows), 4, parity_join.Threshold(85, 100))
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute(rows, 4, 85, 100)
+
+
+def test_a_chain_of_documents_in_any_order_is_one_component(spark):
+    """Each of 81 documents is similar to the next only; the least id stands at one end and the others fall towards the other."""
+    r = random.Random(3)
+    words_, rows = [f"w{r.randrange(10**6)}" for _ in range(60 + 4 * 81)], []
+    for i, doc_id in enumerate([0, *range(80, 0, -1)]):
+        rows.append((doc_id, " ".join(words_[4 * i : 4 * i + 60])))
+    out = parity_join.jaccard_components(docs(spark, rows), 4, parity_join.Threshold(85, 100)).collect()
+    assert brute(rows, 4, 85, 100) == {x.doc_id: (x.n_shingles, x.component_id) for x in out}
+    assert {x.component_id for x in out} == {0}
