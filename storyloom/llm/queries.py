@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, kneser_ney, line_dedup, line_quality, packing, parity_join, token_records, toxicity
+from . import chat_format, decontaminate, html_extract, kneser_ney, line_dedup, line_quality, packing, parity_join, prefix_trie, spelling, token_records, toxicity, url_filter
 from .scratch import new_path
 from .tokens import vocabulary_path
 
@@ -73,7 +73,39 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_toxicity, op4_line_quality, op5_best_fit_packing, op6_kneser_ney_scores, op7_chat_format, op8_html_extract, op9_line_dedup, op10_decontaminate)}
+#: The rules (host, path, verdict) of op11, and the names whose registered hosts its method blocks.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+BLOCKED_NAMES = ("adult-x", "casino-win", "cheap-pills", "free-bets")
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block list has every host of the corpus whose own name is one of ``BLOCKED_NAMES``; where no rule fits, the cascade's answer counts."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    hosts = pages.select(F.explode(url_filter.domains(url_filter.parsed(F.col("url"))[0])).alias("host")).where(F.substring_index("host", ".", 1).isin(*BLOCKED_NAMES)).distinct()
+    out = url_filter.judge_urls(pages, rules, hosts)
+    return out.select("page_id", *(F.col(f"q_{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.rebuilt(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations")))
+    return prefix_trie.prefix_trie(turns, convs)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.count_words(_table(spark, sf_dir, "documents"), spoil=199, least_chars=6, least_count=5), times=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_token_records, op3_toxicity, op4_line_quality, op5_best_fit_packing, op6_kneser_ney_scores, op7_chat_format, op8_html_extract, op9_line_dedup, op10_decontaminate, op11_url_filter, op12_prefix_trie, op13_spelling_variants)}
+#: The unsigned CRC-32 of a text's UTF-8 bytes, where a row of ``crc`` has the table t of its 256 steps.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) g(i))"
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(range(0, octet_length(encode({text}))), lambda j: ('0x' || substr(hex(encode({text})), 2 * j + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295)"
+
+
 _PHRASES = " OR ".join(f"contains(lower(l), '{p}')" for p in line_quality.BOILERPLATE)
 
 ORACLES: dict[str, str] = {
@@ -108,4 +140,44 @@ s AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[ \
         coalesce(lost_words, 0) AS lost_words FROM w LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT *, NOT base_failed AND 100 * lost_words <= 30 * n_words AS kept FROM f""",
+    "op11_url_filter": rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS r FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(substr(r, length(regexp_extract(r, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+k(rh, rp, v) AS (VALUES {", ".join(str(x) for x in URL_RULES)}),
+f AS (SELECT page_id, max_by(rh || rp, length(rh || rp)) AS rule, max_by(v, length(rh || rp)) AS v
+      FROM h JOIN k ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN list_has_any(string_split(host, '.'), {list(BLOCKED_NAMES)}) THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN f USING (page_id)""",
+    "op12_prefix_trie": rf"""
+WITH {_CRC_TABLE},
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL), crc),
+t AS MATERIALIZED (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+        ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS r FROM conversations),
+b AS (SELECT c.conv_id, t.r, role, text FROM c JOIN t ON t.conv_id = base AND t.r <= h),
+k AS (SELECT conv_id, h, (SELECT count(*) FROM b WHERE b.conv_id = c.conv_id) AS k FROM c),
+p AS (SELECT * FROM b UNION ALL SELECT t.conv_id, t.r - h + k, role, text FROM t JOIN k ON k.conv_id = t.conv_id AND t.r > h),
+x AS MATERIALIZED (SELECT conv_id, r AS d, length(text) AS chars, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY r)) AS key FROM p
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+e AS (SELECT d, key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS s FROM x JOIN (SELECT conv_id, max(d) AS d FROM x GROUP BY conv_id) USING (conv_id, d) GROUP BY d, key),
+n AS MATERIALIZED (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(chars) AS cost FROM x GROUP BY d, key),
+q AS MATERIALIZED (SELECT n.*, p.key AS pkey, m.conv_id AS parent FROM n LEFT JOIN x p ON p.conv_id = n.conv_id AND p.d = n.d - 1 LEFT JOIN n m ON m.d = p.d AND m.key = p.key),
+ch AS (SELECT d - 1 AS d, pkey AS key, count(*) AS k FROM q WHERE d > 0 GROUP BY d, pkey),
+s AS (SELECT a.d, a.key, sum(q.cost) AS cost, count(*) FILTER (ch.k IS NULL) AS leaves FROM q JOIN x a ON a.conv_id = q.conv_id AND a.d <= q.d LEFT JOIN ch ON ch.d = q.d AND ch.key = q.key GROUP BY a.d, a.key)
+SELECT q.conv_id, q.d::BIGINT AS depth, parent AS parent_conv_id, n AS n_convs, coalesce(ch.k, 0) AS n_children, leaves AS n_leaves, s.cost::BIGINT AS saved_tokens, coalesce(e.s, sha256('')) AS ends_sha256
+FROM q JOIN s USING (d, key) LEFT JOIN ch USING (d, key) LEFT JOIN e USING (d, key)""",
+    "op13_spelling_variants": rf"""
+WITH {_CRC_TABLE},
+r AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents) GROUP BY doc_id, w),
+h AS (SELECT w, k, {_crc("coalesce(doc_id::VARCHAR, '') || ':' || w")} AS h FROM r, crc),
+v AS MATERIALIZED (SELECT w AS word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, k FROM h)
+      WHERE length(w) >= 6 GROUP BY w HAVING sum(k) >= 5),
+g AS MATERIALIZED (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM v, range(1, 10000) x(i) WHERE i <= length(word)),
+p AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM g a JOIN g b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+      UNION SELECT g.word, v.word FROM g JOIN v ON v.word = cut UNION SELECT v.word, g.word FROM g JOIN v ON v.word = cut),
+m AS (SELECT a, count(*) AS n_near, max(n) AS top, min_by(b, (-n, b)) AS b FROM p JOIN v ON v.word = p.b GROUP BY a),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN b END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN m ON m.a = v.word),
+z AS (WITH RECURSIVE c AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+      SELECT c.word, at AS root FROM c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON z.word = f.word""",
 }
