@@ -177,7 +177,7 @@ p AS MATERIALIZED (SELECT a.word AS a, b.word AS b FROM g a JOIN g b ON a.i = b.
       UNION SELECT g.word, v.word FROM g JOIN v ON v.word = cut UNION SELECT v.word, g.word FROM g JOIN v ON v.word = cut),
 m AS (SELECT a, count(*) AS n_near, max(n) AS top, min_by(b, (-n, b)) AS b FROM p JOIN v ON v.word = p.b GROUP BY a),
 f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN b END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN m ON m.a = v.word),
-z AS (WITH RECURSIVE c AS (SELECT word, form AS at FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
-      SELECT c.word, at AS root FROM c JOIN f ON f.word = c.at WHERE f.form IS NULL)
+z AS (WITH RECURSIVE c AS (SELECT word, form AS up FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.up WHERE f.form IS NOT NULL)
+      SELECT c.word, up AS root FROM c JOIN f ON f.word = c.up WHERE f.form IS NULL)
 SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN z ON z.word = f.word""",
 }
