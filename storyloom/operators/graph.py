@@ -60,9 +60,12 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, []
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def path(self, name: str) -> str:
         self.paths.append(new_path(self.spark, f"{self.name}-{name}"))
-        return stored(df, name, path=self.paths[-1])
+        return self.paths[-1]
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, path=self.path(name))
 
     def close(self) -> None:
         while self.paths:

@@ -15,7 +15,8 @@ def normalize_entries(entries: DataFrame) -> DataFrame:
 
     ``entries``: source_id, fetched_at, title, link, guid, published, author, summary, content, category, enclosures (array of type, href),
     media_content (array of url, medium, type). A missing or unreadable publish time is ``fetched_at``. Texts longer than the columns' limits
-    are rejects (N8), never cut silently; summary and content are shortened to 2,000 and 10,000 characters as the model says (N7).
+    are rejects (N8), never cut silently; summary and content are shortened to 2,000 and 10,000 characters as the model says (N7). The
+    ``position`` of an entry in its feed is kept if there is one.
     """
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     raw_url = F.coalesce(F.nullif(F.col("link"), F.lit("")), F.col("guid"), F.lit(""))
@@ -30,7 +31,7 @@ def normalize_entries(entries: DataFrame) -> DataFrame:
         "source_id", title.alias("title"), F.trim(raw_url).alias("url"), canonical.alias("canonical_url"), blank("author").alias("author"),
         parse_time(F.col("published"), F.col("fetched_at")).alias("published_at"), F.nullif(F.substring(summary, 1, 2000), F.lit("")).alias("summary"),
         F.nullif(F.substring(content, 1, 10000), F.lit("")).alias("content"), image.alias("image_url"), F.lower(F.trim(F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("general")))).alias("category"),
-        content_hash(title, canonical).alias("content_hash"), F.coalesce(F.nullif(F.col("guid"), F.lit("")), canonical).alias("guid"), F.lit("en").alias("language"), "fetched_at",
+        content_hash(title, canonical).alias("content_hash"), F.coalesce(F.nullif(F.col("guid"), F.lit("")), canonical).alias("guid"), F.lit("en").alias("language"), "fetched_at", *(c for c in entries.columns if c == "position"),
     )
     reason = F.when(F.col("title") == "", "empty title").when(F.col("url") == "", "no link or guid")
     for c, n in LIMITS.items():

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import brief, cluster, dedup, entities, score, views
+from ..operators import brief, cluster, dedup, entities, history, score, views
+from ..operators.graph import stored
 from . import model
 
 #: Names beyond the known ones that the invented prose uses, so that the gazetteer has work to do.
@@ -198,10 +199,15 @@ def similar_title_pairs(spark, sf_dir):
 
 
 def new_against_history(spark, sf_dir):
-    """Articles of the newest day whose hash and address the older ones don't have."""
+    """The newest day's articles, in the order of their ids, after those that the pass over all older ones has stored."""
     art = model.articles(spark, sf_dir).withColumn("content_hash", X.content_hash(F.col("title"), F.col("language"))).withColumn("canonical_url", F.concat("language", F.lit(":"), F.length("content").cast("string")))
     cut = model.as_of(art) - 24 * score.HOUR
-    return dedup.against_history(art.where(F.col("published_us") > cut), art.where(F.col("published_us") <= cut)).select("id")
+    old = art.where(F.col("published_us") <= cut)
+    kept = old.join(dedup.leader_pass(old).where("not is_duplicate").select("id"), "id", "left_semi")
+    index = stored(history.index_rows(kept), "title-index")
+    newest = art.where(F.col("published_us") > cut).withColumn("id", F.col("id") + (1 << 40))
+    out = history.resolve(newest, index)
+    return out.select((F.col("id") - (1 << 40)).alias("id"), "is_duplicate", F.when(F.col("duplicate_of_id") >= 1 << 40, F.col("duplicate_of_id") - (1 << 40)).otherwise(F.col("duplicate_of_id")).alias("duplicate_of_id"), "reason")
 
 
 def leader_pass(spark, sf_dir):
@@ -274,6 +280,18 @@ r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc UNION ALL SELECT row_.i, CASE W
 ok AS MATERIALIZED (SELECT unnest(acc) AS id FROM (SELECT acc FROM r ORDER BY i DESC LIMIT 1)),
 hit AS (SELECT bef.id, max(o) FILTER (why = 'hash') AS h, max(o) FILTER (why = 'title') AS t FROM bef JOIN ok ON ok.id = o WHERE bef.id NOT IN (SELECT id FROM ok) GROUP BY bef.id)
 SELECT art.id, hit.id IS NOT NULL AS is_duplicate, coalesce(h, t) AS duplicate_of_id, CASE WHEN h IS NOT NULL THEN 'hash' WHEN t IS NOT NULL THEN 'title' END AS reason FROM art LEFT JOIN hit USING (id)"""
+#: The same pass over the older articles first and then over the newest day's, whose ids are set behind all others; with addresses.
+_HISTORY = f"""WITH RECURSIVE {BASE.replace("art AS MATERIALIZED", "given AS MATERIALIZED").replace("FROM art)", "FROM given)")},
+art AS MATERIALIZED (SELECT given.* REPLACE (id + CASE WHEN published_us > t - 86400000000 THEN 1099511627776 ELSE 0 END AS id) FROM given, newest), {_near_sql(_TOK, 85)},
+sha AS (SELECT id, sha256(lower(trim(title)) || '|' || lower(trim(language))) AS h, language || ':' || length(content) AS u FROM art),
+bef AS MATERIALIZED (SELECT x AS id, y AS o, 'title' AS why FROM sim WHERE y < x UNION ALL SELECT a.id, b.id, 'hash' FROM sha a JOIN sha b ON a.h = b.h AND b.id < a.id
+  UNION ALL SELECT a.id, b.id, 'url' FROM sha a JOIN sha b ON a.u = b.u AND b.id < a.id),
+row_ AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id) AS i, id, coalesce(nb, []) AS nb FROM art LEFT JOIN (SELECT id, list(DISTINCT o) AS nb FROM bef GROUP BY id) USING (id)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS acc UNION ALL SELECT row_.i, CASE WHEN list_has_any(nb, acc) THEN acc ELSE list_append(acc, id) END FROM r JOIN row_ ON row_.i = r.i + 1),
+ok AS MATERIALIZED (SELECT unnest(acc) AS id FROM (SELECT acc FROM r ORDER BY i DESC LIMIT 1)),
+hit AS (SELECT bef.id, min(o) FILTER (why = 'hash') AS h, min(o) FILTER (why = 'url') AS u, max(o) FILTER (why = 'title') AS t FROM bef JOIN ok ON ok.id = o WHERE bef.id NOT IN (SELECT id FROM ok) GROUP BY bef.id)
+SELECT art.id % 1099511627776 AS id, hit.id IS NOT NULL AS is_duplicate, coalesce(h, u, t) % 1099511627776 AS duplicate_of_id, CASE WHEN h IS NOT NULL THEN 'hash' WHEN u IS NOT NULL THEN 'url' WHEN t IS NOT NULL THEN 'title' END AS reason
+FROM art LEFT JOIN hit USING (id) WHERE art.id >= 1099511627776"""
 _GREEDY = f"""WITH RECURSIVE {BASE}, {ENTITIES}, {_near_sql(_INF, 35, "AND NOT (count(*) <= 1 AND x.n + y.n - count(*) >= 4)")},
 can AS (SELECT x AS id, list({{'s': y, 'q': n_both / n_either::DOUBLE}}) AS c FROM sim JOIN art a ON a.id = x JOIN art b ON b.id = y
   WHERE (b.published_us, b.id) < (a.published_us, a.id) AND (a.category = 'general' OR b.category IN (a.category, 'general')) GROUP BY x),
@@ -324,9 +342,7 @@ SELECT * FROM l WHERE previous_state IS NULL OR previous_state <> state""",
     "near_title_pairs": _pairs_sql(_TOK, 85),
     "near_title_members": f"WITH {BASE}, t AS (SELECT id, {_TOK} AS tok FROM art) SELECT id, min(id) OVER (PARTITION BY tok) AS set_id FROM t WHERE len(tok) > 0",
     "similar_title_pairs": _pairs_sql(_INF, 35, "AND NOT (n_both <= 1 AND n_either >= 4)"),
-    "new_against_history": f"""WITH {BASE}, k AS (SELECT id, published_us, sha256(lower(trim(title)) || '|' || lower(trim(language))) AS h, language || ':' || length(content) AS u FROM art),
-o AS (SELECT k.* FROM k, newest WHERE published_us <= t - 86400000000)
-SELECT id FROM k, newest WHERE published_us > t - 86400000000 AND h NOT IN (SELECT h FROM o) AND u NOT IN (SELECT u FROM o)""",
+    "new_against_history": _HISTORY,
     "best_clusters": f"""WITH {BASE}, o AS (SELECT art.* FROM art, newest WHERE published_us <= t - 86400000000), n AS (SELECT art.* FROM art, newest WHERE published_us > t - 86400000000),
 m AS (SELECT *, min(id) OVER (PARTITION BY title) AS cluster_id FROM o),
 c AS (SELECT cluster_id, min(published_us) AS first_us, max(published_us) AS last_us FROM m GROUP BY cluster_id),

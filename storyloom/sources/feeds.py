@@ -20,29 +20,29 @@ def _kind():
 
 
 def parse_feeds(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries, rejects) of ``payloads`` (source_id, fetched_at, payload).
+    """(entries, rejects) of ``payloads`` (source_id, fetched_at, payload); ``position`` is an entry's place in its feed, from 0.
 
     Complete ``<item>`` and ``<entry>`` blocks are cut out and parsed one by one, so a feed that breaks off still gives the entries before the
     break; a payload with no entry at all is a reject.
     """
     p = payloads.select("source_id", "fetched_at", F.coalesce("payload", F.lit("")).alias("payload")).withColumn("kind", _kind())
-    block = lambda tag: F.explode(F.regexp_extract_all("payload", F.lit(rf"(?s)<{tag}[\s>].*?</{tag}\s*>"), 0)).alias("block")
-    keys = ["source_id", "fetched_at"]
-    rss = p.where("kind = 'rss'").select(*keys, block("item")).select(*keys, F.from_xml("block", ITEM).alias("i")).where("i is not null")
+    block = lambda tag: F.posexplode(F.regexp_extract_all("payload", F.lit(rf"(?s)<{tag}[\s>].*?</{tag}\s*>"), 0)).alias("position", "block")
+    polled, keys = ["source_id", "fetched_at"], ["source_id", "fetched_at", "position"]
+    rss = p.where("kind = 'rss'").select(*polled, block("item")).select(*keys, F.from_xml("block", ITEM).alias("i")).where("i is not null")
     rss = rss.select(
         *keys, "i.title", "i.link", F.coalesce("i.guid", "i.link").alias("guid"), F.col("i.pubDate").alias("published"), F.coalesce("i.author", F.col("i.dc:creator")).alias("author"),
         F.col("i.description").alias("summary"), F.col("i.content:encoded").alias("content"), F.get("i.category", F.lit(0)).alias("category"),
         F.transform("i.enclosure", lambda e: F.struct(e["_type"].alias("type"), e["_url"].alias("href"))).alias("enclosures"),
         F.transform(F.col("i.media:content"), lambda m: F.struct(m["_url"].alias("url"), m["_medium"].alias("medium"), m["_type"].alias("type"))).alias("media_content"),
     )
-    atom = p.where("kind = 'atom'").select(*keys, block("entry")).select(*keys, F.from_xml("block", ENTRY).alias("e")).where("e is not null")
+    atom = p.where("kind = 'atom'").select(*polled, block("entry")).select(*keys, F.from_xml("block", ENTRY).alias("e")).where("e is not null")
     link = F.get(F.filter("e.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
     files = F.transform(F.filter("e.link", lambda x: x["_rel"] == "enclosure"), lambda x: F.struct(x["_type"].alias("type"), x["_href"].alias("href")))
     atom = atom.select(
         *keys, "e.title", link.alias("link"), F.coalesce("e.id", link).alias("guid"), F.coalesce("e.published", "e.updated").alias("published"), F.col("e.author.name").alias("author"), "e.summary", "e.content",
         F.get("e.category", F.lit(0))["_term"].alias("category"), files.alias("enclosures"), F.lit(None).cast(EMPTY_MEDIA).alias("media_content"),
     )
-    feed = p.where("kind = 'json'").select(*keys, F.from_json("payload", JSON_FEED).alias("f")).select(*keys, F.explode("f.items").alias("j"))
+    feed = p.where("kind = 'json'").select(*polled, F.from_json("payload", JSON_FEED).alias("f")).select(*polled, F.posexplode("f.items").alias("position", "j"))
     json = feed.select(
         *keys, "j.title", F.col("j.url").alias("link"), F.coalesce("j.id", "j.url").alias("guid"), F.col("j.date_published").alias("published"), F.col("j.author.name").alias("author"), "j.summary",
         F.coalesce("j.content_html", "j.content_text").alias("content"), F.get("j.tags", F.lit(0)).alias("category"),
@@ -52,7 +52,7 @@ def parse_feeds(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = F.when(F.col("kind") == "json", F.size(F.from_json("payload", JSON_FEED)["items"])).otherwise(F.regexp_count("payload", F.lit(r"(?s)<(item|entry)[\s>].*?</(item|entry)\s*>")))
     rejects = p.withColumn("n", F.coalesce(blocks, F.lit(0))).where("kind is null or n <= 0")
     reason = F.when(F.trim("payload") == "", "empty payload").when(F.col("kind").isNull(), "not a feed").otherwise("no complete entry")
-    return entries, rejects.select(*keys, reason.alias("reason"))
+    return entries, rejects.select(*polled, reason.alias("reason"))
 
 
 def feed_metadata(payloads: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cluster import HOUR, WINDOW_HOURS, cluster_table, greedy_clusters
-from ..operators.dedup import against_history
+from ..operators import history
+from ..operators.graph import Scratch
 from ..operators.normalize import normalize_entries
 from ..sources.feeds import parse_feeds
 
@@ -29,28 +32,45 @@ def valid_articles(payloads: DataFrame) -> DataFrame:
     return articles.withWatermark("fetched_at", LATENESS).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def stored_rows(spark, store: str) -> DataFrame | None:
+def stored_rows(spark, store: str, schema: str | None = None) -> DataFrame | None:
     """The table in ``store``, or none if nothing was written there yet."""
     try:
-        return spark.read.parquet(store)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(store)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
 
 
-def ingest(articles: DataFrame, store: str, checkpoint: str):
-    """Append what the store doesn't have yet, batch by batch; a repeated batch or poll appends nothing."""
+def store_batch(batch: DataFrame, store: str, name: str) -> DataFrame:
+    """Resolve a batch of articles against the store and add what is new (D6-D8 for R1, R2); the decisions about its rows are given back.
+
+    ``store`` has a folder of articles for each batch and, in ``<store>-keys``, one of their index (``history``), so writing batch ``name`` again replaces
+    what an attempt before left. Within a batch the order is that of the polls and of the entries in a feed. Only the index's partitions
+    that the batch has keys for are read, and of the articles only the largest id.
+    """
+    spark, part, scratch = batch.sparkSession, f"batch={name}", Scratch(batch.sparkSession, "ingest")
+    keys = f"{store.rstrip('/')}-keys"
+    other = lambda df: None if df is None else df.where(F.col("batch") != name)
+    index = other(stored_rows(spark, keys, f"{history.INDEX}, batch string, bucket int"))
+    old = other(stored_rows(spark, store, "id long, batch string"))
+    top = None if old is None else old.agg(F.max("id")).first()[0]
+    order = [c for c in ("fetched_at", "source_id", "position", "content_hash") if c in batch.columns]
+    rows = scratch.put(history.numbered(batch, order, 0 if top is None else top + 1), "batch")
+    decisions = history.resolve(rows, index)
+    new = rows.join(decisions.where("not is_duplicate").select("id"), "id", "left_semi")
+    new.write.mode("overwrite").parquet(f"{store}/{part}")
+    written = spark.read.schema(new.schema).parquet(f"{store}/{part}")
+    history.index_rows(written).repartition("bucket").sortWithinPartitions("bucket", "key").write.mode("overwrite").partitionBy("bucket").parquet(f"{keys}/{part}")
+    scratch.close()
+    return decisions
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.dropDuplicates(["content_hash"])
-        history = stored_rows(spark, store)
-        if history is not None:
-            batch = against_history(batch, history)
-        batch.write.mode("append").parquet(store)
 
-    return articles.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(articles: DataFrame, store: str, checkpoint: str):
+    """Add what the store doesn't have yet, batch by batch; a repeated batch or poll adds nothing."""
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    stream = articles.writeStream.foreachBatch(lambda batch, epoch: (store_batch(batch, store, f"{name}-{epoch}"), None)[1])
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def last_fetched(payloads: DataFrame) -> DataFrame:
