@@ -2,6 +2,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from storyloom.llm import decontaminate as D
@@ -229,3 +231,48 @@ def test_line_quality_keeps_clashing_columns(spark):
     row = out.first()
     assert out.columns[: len(df.columns)] == df.columns and (row._t, row._w, row._near, row.q_t, row.q_near, row._low) == (1, 2, 3, 4, 5, 6)
     assert row.q_n_words == 90 and row.q_n_repeat_words == 90
+
+
+def changed_line(r, w, kind, share):
+    w = list(w)
+    if kind == "letter":
+        return [x[: (k := r.randrange(len(x)))] + r.choice("qvwxyz") + x[k + 1 :] if i % share == 0 else x for i, x in enumerate(w)]
+    for _ in range(max(1, len(w) * share // 100)):
+        k = r.randrange(len(w))
+        w[k : k + 1] = {"replace": ["".join(r.choice("qvwxyz") for _ in range(5))], "insert": [w[k], "neu"], "delete": [] if len(w) > 5 else [w[k]]}[kind]
+    return w
+
+
+@pytest.mark.parametrize(("low", "high"), [(5, 9), (10, 19), (20, 39), (40, 99), (100, 250)])
+def test_like_lines_meet(low, high):
+    """Of pairs with 80 % edit similarity, nine in ten share a key and lie near enough: one letter changed in every third, fourth or fifth word, and up to
+    15 % of the words replaced, added or left out."""
+    r, rule = random.Random(low), L.LineRule()
+    vocabulary = ["".join(r.choice("aeioulnrst") for _ in range(r.choice([1, 2, 3, 3, 4, 5, 6, 7, 9]))) for _ in range(20_000)]
+    for kind, share in (("letter", 3), ("letter", 4), ("letter", 5), ("replace", 10), ("replace", 15), ("insert", 15), ("delete", 15)):
+        pairs = []
+        while len(pairs) < 150:
+            w = [r.choice(vocabulary) for _ in range(r.randint(low, high))]
+            x, y = " ".join(w), " ".join(changed_line(r, w, kind, share))
+            if x != y and L.alike(x, y, rule.similarity_percent):
+                pairs += [x, y]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array(pairs)], names=["id", "text"])
+        rows = [x for b in L._lines(rule)([batch]) for x in b.to_pylist()]
+        met = 0
+        for x, y in zip(rows[::2], rows[1::2], strict=True):
+            far = sum(((x[c] ^ y[c]) & (1 << 64) - 1).bit_count() for c in ("s1", "s2"))
+            met += bool(set(x["anchors"]) & set(y["anchors"])) and far <= rule.far
+        assert met * 10 >= 9 * len(rows) // 2, (kind, share, met, len(rows) // 2)
+
+
+def test_groups_do_not_depend_on_the_size_of_buckets(spark, monkeypatch):
+    """The same lines, paired by a join and in tiles of two members."""
+    r = random.Random(21)
+    base = [prose(r, 20) for _ in range(6)]
+    rows = [(i, " ".join(changed_line(r, base[i % 6].split(" "), r.choice(["letter", "replace"]), 4 if i % 2 else 10))) for i in range(60)]
+    found = []
+    for small, tile in ((1_000, 2_048), (0, 2)):
+        monkeypatch.setattr(L, "SMALL_BUCKET", small)
+        monkeypatch.setattr(L, "TILE", tile)
+        found.append({x.id: x.group for x in L.line_groups(docs(spark, rows)).collect()})
+    assert found[0] == found[1]
