@@ -96,6 +96,20 @@ def test_edit_distance_and_alike():
         assert L.alike(a, b, 80) == (slow_edits(a, b) <= max(len(a), len(b)) * 20 // 100)
 
 
+def test_edit_distances_of_many_pairs(monkeypatch):
+    """Texts of none to four words of 64 letters and beyond, some of them alike, in small groups."""
+    monkeypatch.setattr(L, "VECTOR_PAIRS", 7)
+    monkeypatch.setattr(L, "VECTOR_CHARS", 200)
+    monkeypatch.setattr(L, "VECTOR_LEAST", 0)
+    r, pairs = random.Random(14), []
+    for n in [*range(0, 260, 9), 63, 64, 65, 127, 128, 129]:
+        a = [r.choice("abcé漢 ") for _ in range(n)]
+        b = [x if r.random() < 0.8 else r.choice("abé") for x in a[: r.randint(0, n)]] + [r.choice("xyz") for _ in range(r.choice([0, 5, 80]))]
+        pairs += [("".join(a), "".join(b)), ("".join(b), "".join(a))]
+    with np.errstate(over="ignore"):
+        assert L.edit_distances(pairs) == [slow_edits(a, b) for a, b in pairs]
+
+
 def test_simhash_of_long_runs():
     r = np.random.default_rng(3)
     h = r.integers(0, 1 << 64, 4000, dtype=np.uint64)
@@ -250,12 +264,13 @@ def test_like_lines_meet(low, high):
     r, rule = random.Random(low), L.LineRule()
     vocabulary = ["".join(r.choice("aeioulnrst") for _ in range(r.choice([1, 2, 3, 3, 4, 5, 6, 7, 9]))) for _ in range(20_000)]
     for kind, share in (("letter", 3), ("letter", 4), ("letter", 5), ("replace", 10), ("replace", 15), ("insert", 15), ("delete", 15)):
-        pairs = []
-        while len(pairs) < 150:
+        made = []
+        for _ in range(200):
             w = [r.choice(vocabulary) for _ in range(r.randint(low, high))]
-            x, y = " ".join(w), " ".join(changed_line(r, w, kind, share))
-            if x != y and L.alike(x, y, rule.similarity_percent):
-                pairs += [x, y]
+            made.append((" ".join(w), " ".join(changed_line(r, w, kind, share))))
+        like = L.alike_many(made, rule.similarity_percent)
+        pairs = [z for (x, y), yes in zip(made, like, strict=True) if yes and x != y for z in (x, y)]
+        assert len(pairs) > 100
         batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array(pairs)], names=["id", "text"])
         rows = [x for b in L._lines(rule)([batch]) for x in b.to_pylist()]
         met = 0
