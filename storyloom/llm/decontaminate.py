@@ -93,7 +93,7 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
 
 
 def _seeds(rule: TilingRule, bits: np.ndarray | None):
-    """Distinct (id, seed) of texts and how often the text has it; with ``bits`` only those that the filter lets through."""
+    """Distinct (id, fp, seed) of texts and how often the text has it; with ``bits`` only those that the filter lets through."""
 
     def run(batches):
         for batch in batches:
@@ -111,10 +111,10 @@ def _seeds(rule: TilingRule, bits: np.ndarray | None):
                 text, seed = text[order], seed[order]
                 new = np.ones(len(seed), bool)
                 new[1:] = (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])
-                ids = batch.column(0)[first:last].take(pa.array(text[new]))
+                ids, prints = (batch.column(i)[first:last].take(pa.array(text[new])) for i in (0, 2))
                 n = words.n_words[text[new]].astype(np.int64)
                 times = np.diff(np.append(np.flatnonzero(new), len(seed)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(as_long(seed[new])), pa.array(n), pa.array(times.astype(np.int64))], names=["id", "seed", "n_words", "times"])
+                yield pa.RecordBatch.from_arrays([ids, prints, pa.array(as_long(seed[new])), pa.array(n), pa.array(times.astype(np.int64))], names=["id", "fp", "seed", "n_words", "times"])
 
     return run
 
@@ -132,58 +132,60 @@ def _tiled(rule: TilingRule):
         np.seterr(over="ignore")
         for batch in batches:
             rows = []
-            for doc_id, text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for doc_id, fp, text, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 doc, *each = hashes([text, *(x["text"] for x in items)])
                 for x, item in zip(items, each, strict=True):
                     found = tiles(item, doc, rule.min_match)
-                    rows.append((doc_id, x["item"], len(item), sum(n for _, _, n in found), len(found)))
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["id", "item", "item_words", "covered_words", "n_tiles"])
+                    rows.append((doc_id, fp, x["item"], len(item), sum(n for _, _, n in found), len(found)))
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["id", "fp", "item", "item_words", "covered_words", "n_tiles"])
 
     return run
 
 
 def tiled_matches(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = TilingRule(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, item, item_words, covered_words, n_tiles) for every text and item that could reach the coverage."""
+    """(id, fp, item, item_words, covered_words, n_tiles) for every text and item that could reach the coverage; ``fp`` is a hash of the text, so
+    rows of one id with different texts are told apart."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null").dropDuplicates(["item"])
-    seeds = materialize(items.mapInArrow(_seeds(rule, None), "id long, seed long, n_words long, times long").select(F.col("id").alias("item"), "seed", "n_words", "times"), "item-seeds")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null").withColumn("fp", F.xxhash64("text"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null").dropDuplicates(["item"]).withColumn("fp", F.lit(0).cast("long"))
+    seeds = materialize(items.mapInArrow(_seeds(rule, None), "id long, fp long, seed long, n_words long, times long").select(F.col("id").alias("item"), "seed", "n_words", "times"), "item-seeds")
     place = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
     words = seeds.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 63 as int))")).alias("b")).collect()
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=U64)
     for r in words:  # at most 2**19 words
         bits[r["w"]] = np.int64(r["b"]).astype(U64)
     shared = spark.sparkContext.broadcast(bits)
-    hits = rows.mapInArrow(_seeds(rule, shared), "id long, seed long, n_words long, times long").select("id", "seed")
+    hits = rows.mapInArrow(_seeds(rule, shared), "id long, fp long, seed long, n_words long, times long").select("id", "fp", "seed")
     # a shared seed counts as often as the item has it: tiles may cover all its places
     enough = f"n_shared * {rule.min_match} * 100 >= {rule.coverage_percent} * n_words"
-    pairs = hits.join(seeds, "seed").groupBy("id", "item").agg(F.sum("times").alias("n_shared"), F.first("n_words").alias("n_words")).where(enough)
-    pairs = materialize(pairs.select("id", "item"), "tiling-pairs")
-    listed = pairs.join(items, "item").groupBy("id").agg(F.collect_list(F.struct("item", "text")).alias("items"))
-    wanted = semi_join(rows, pairs, "id").dropDuplicates(["id", "text"]).join(listed, "id").select("id", "text", "items")
-    return wanted.mapInArrow(_tiled(rule), "id long, item long, item_words long, covered_words long, n_tiles long")
+    pairs = hits.join(seeds, "seed").groupBy("id", "fp", "item").agg(F.sum("times").alias("n_shared"), F.first("n_words").alias("n_words")).where(enough)
+    pairs = materialize(pairs.select("id", "fp", "item"), "tiling-pairs")
+    listed = pairs.join(items.drop("fp"), "item").groupBy("id", "fp").agg(F.collect_list(F.struct("item", "text")).alias("items"))
+    wanted = semi_join(rows, pairs, "id").dropDuplicates(["id", "fp"]).join(listed, ["id", "fp"]).select("id", "fp", "text", "items")
+    return wanted.mapInArrow(_tiled(rule), "id long, fp long, item long, item_words long, covered_words long, n_tiles long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = TilingRule(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, contaminated, coverage_percent, item_ids): one row per row of ``docs``.
 
     ``item_ids`` are the covered items, sorted; ``coverage_percent`` is the largest coverage among the compared items (0 if none). Null and
-    empty texts and rows with a null id are clean; items of fewer than ``min_match`` words or with a null id or text are not searched.
+    empty texts and rows with a null id are clean; items of fewer than ``min_match`` words or with a null id or text are not searched. Ids may
+    repeat: each row is judged by its own text. A task holds one text and the items that it shares seeds with.
     """
     found = tiled_matches(docs, benchmark, rule, id_col, text_col, item_col, item_text_col)
     reached = F.col("covered_words") * 100 >= rule.coverage_percent * F.col("item_words")
-    ids = docs.select(id_col)
-    key, share, items = unused(ids, "id", "share", "items")
-    per = found.groupBy(F.col("id").alias(key)).agg(F.max(100.0 * F.col("covered_words") / F.col("item_words")).alias(share), F.sort_array(F.collect_set(F.when(reached, F.col("item")))).alias(items))
+    key, fp, share, items = unused(docs.select(id_col), "id", "fp", "share", "items")
+    ids = docs.select(id_col, F.xxhash64(F.col(text_col).cast("string")).alias(f"{fp}_own"))
+    per = found.groupBy(F.col("id").alias(key), F.col("fp").alias(fp)).agg(F.max(100.0 * F.col("covered_words") / F.col("item_words")).alias(share), F.sort_array(F.collect_set(F.when(reached, F.col("item")))).alias(items))
     per = materialize(per, "tiling-found")
-    out = ids.join(per, ids[id_col].cast("long") == F.col(key), "left")
+    out = ids.join(per, (ids[id_col].cast("long") == F.col(key)) & (F.col(f"{fp}_own") == F.col(fp)), "left")
     return out.select(id_col, F.coalesce(F.size(items) > 0, F.lit(False)).alias("contaminated"), F.coalesce(share, F.lit(0.0)).alias("coverage_percent"), F.coalesce(items, F.array().cast("array<bigint>")).alias("item_ids"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rule: TilingRule = TilingRule(), id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows that are contaminated; columns of any names stay as they are."""
-    (key,) = unused(docs, "gone")
+    """``docs`` without the rows that are contaminated; columns of any names stay as they are. Ids may repeat: each row is judged by its own text."""
+    key, fp = unused(docs, "gone", "fp")
     found = tiled_matches(docs, benchmark, rule, id_col).where(F.col("covered_words") * 100 >= rule.coverage_percent * F.col("item_words"))
-    gone = materialize(found.select(F.col("id").alias(key)).distinct(), "contaminated")
-    return docs.join(gone, docs[id_col].cast("long") == F.col(key), "left_anti")
+    gone = materialize(found.select(F.col("id").alias(key), F.col("fp").alias(fp)).distinct(), "contaminated")
+    return docs.join(gone, (docs[id_col].cast("long") == F.col(key)) & (F.xxhash64(docs["text"].cast("string")) == F.col(fp)), "left_anti")

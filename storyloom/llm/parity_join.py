@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components as connected_components
-from .scratch import Scratch, hot_rows, join_hot, materialize, semi_join, unused
+from .scratch import Scratch, hot_rows, join_hot, materialize, row_key, semi_join, unused
 from .textops import U64, Words, as_long, chunks, distinct_shingles, mix64, runs
 
 BLOCK_BITS = 4096
@@ -289,8 +289,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Threshold = Thres
     return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("representative").alias("representative_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(), id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows with a null id or without words stay."""
-    (gone,) = unused(docs, "gone")
-    found = jaccard_components(docs, k, threshold, id_col).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone))
-    return docs.join(found, docs[id_col].cast("long") == F.col(gone), "left_anti")
+def drop_near_duplicates(docs: DataFrame, k: int = 5, threshold: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that are not the first of their component, by id and then by a hash of id and text. Ids may repeat: rows of one id
+    with different texts are documents of their own, equal rows stay or go together. Rows with a null id or without words stay and make
+    nothing else go. Columns of any names stay as they are; an empty table gives an empty result."""
+    row, gone = unused(docs, "row", "gone")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias(row), F.col(text_col).alias("text"))
+    found = jaccard_components(rows.select(row, "text"), k, threshold, row).select(row, "component_id")
+    placed = materialize(found.join(rows.select("id", row).distinct(), row), "parity-rows")
+    firsts = placed.groupBy("component_id").agg(F.min(F.struct("id", row)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id", F.col(f"first.{row}").alias("first"))
+    lost = placed.join(firsts, "component_id").where(F.col(row) != F.col("first")).select(F.col(row).alias(gone))
+    return docs.join(lost, F.when(F.col(id_col).isNotNull(), row_key(id_col, text_col)) == F.col(gone), "left_anti")

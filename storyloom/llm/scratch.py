@@ -41,3 +41,10 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     while any(c.startswith(prefix) for c in taken):
         prefix += "_"
     return [prefix + n for n in names]
+
+
+def row_key(id_col: str, text_col: str = "text"):
+    """A hash of a row's id and text, for tables whose ids may repeat: equal rows share it, rows of one id with different texts don't."""
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from storyloom.llm import decontaminate as D
 from storyloom.llm import line_dedup as L
 from storyloom.llm import line_quality as Q
+from storyloom.llm import parity_join as P
 
 from .helpers import docs, prose
 
@@ -239,6 +240,19 @@ def test_decontaminate_of_odd_tables(spark):
     assert sorted((x.doc_id, x.contaminated, tuple(x.item_ids)) for x in got) == [(1, True, (1, 2)), (1, True, (1, 2)), (2, True, (1, 2)), (3, False, ())]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    r = random.Random(18)
+    item, clean, line = prose(r, 40), prose(r, 60), prose(r, 30)
+    rows = [(1, item), (1, clean), (2, f"{line}\nshort"), (2, f"other\n{line}"), (2, f"other\n{line}"), (3, line)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(x.doc_id, x.text == item, x.contaminated) for x in D.decontaminate(docs(spark, rows[:2]), bench).join(docs(spark, rows[:2]), "doc_id").collect()} >= {(1, True, True)}
+    assert [x.text for x in D.drop_contaminated(docs(spark, rows[:2]), bench).collect()] == [clean]
+    got = sorted(x.text for x in L.dedup_lines(docs(spark, rows[2:])).collect())
+    assert sum(line in t for t in got) in (1, 2) and len(set(t for t in got if line in t)) == 1 and len(got) == 4
+    kept = P.drop_near_duplicates(docs(spark, [(1, clean), (1, item), (2, clean), (2, clean), (3, item + " ende"), (4, None), (4, ""), (None, clean)]), 5)
+    assert sorted((x.doc_id or 0, x.text) for x in kept.where("text is not null").collect()) == sorted([(0, clean), (1, clean), (1, item), (4, "")]) and kept.count() == 5
+
+
 def test_line_quality_keeps_clashing_columns(spark):
     df = docs(spark, [(1, "a b c.\n" * 30)]).selectExpr("doc_id", "text", "1 as _t", "2 as _w", "3 as _near", "4 as q_t", "5 as q_near", "6 as _low")
     out = Q.line_quality(df)
