@@ -108,7 +108,11 @@ def test_edit_distances_of_many_pairs(monkeypatch):
         b = [x if r.random() < 0.8 else r.choice("abé") for x in a[: r.randint(0, n)]] + [r.choice("xyz") for _ in range(r.choice([0, 5, 80]))]
         pairs += [("".join(a), "".join(b)), ("".join(b), "".join(a))]
     with np.errstate(over="ignore"):
-        assert L.edit_distances(pairs) == [slow_edits(a, b) for a, b in pairs]
+        want = [slow_edits(a, b) for a, b in pairs]
+        assert L.edit_distances(pairs) == want
+        most = [max(len(a), len(b)) // 5 for a, b in pairs]
+        got = L.edit_distances(pairs, most)
+        assert [min(d, k + 1) for d, k in zip(got, most, strict=True)] == [min(d, k + 1) for d, k in zip(want, most, strict=True)]
 
 
 def test_simhash_of_long_runs():
@@ -285,7 +289,7 @@ def test_like_lines_meet(low, high):
         like = L.alike_many(made, rule.similarity_percent)
         pairs = [z for (x, y), yes in zip(made, like, strict=True) if yes and x != y for z in (x, y)]
         assert len(pairs) > 100
-        batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array(pairs)], names=["id", "text"])
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array(pairs), pa.array(range(len(pairs)))], names=["id", "text", "fp"])
         rows = [x for b in L._lines(rule)([batch]) for x in b.to_pylist()]
         met = 0
         for x, y in zip(rows[::2], rows[1::2], strict=True):
