@@ -1,10 +1,11 @@
 """Main text of HTML pages by line-block distribution (operator 8).
 
-Markup is stripped into one line per block element. Lines inside page furniture (menus, footers, adverts, forms, comments and the like) are
-never kept. Where the page marks its article, the mark decides: all other lines in it are kept and the distribution is not used, as it would
-drop short passages. Elsewhere a line weighs its text length, or nothing if it is mostly links, and sums over a sliding window of lines show
-where the text surges up from nothing and where it dives back; all lines from the first to the last weighing line of a region are kept,
-however small the region is.
+Markup is stripped into one line per block element. A line weighs its text length, or nothing if it lies in page furniture (menus, footers, adverts,
+forms, comments and the like), is mostly links, or stands outside the article of a page that marks one. Sums over a sliding window of lines
+show where the text surges up from nothing and where it dives back, on every page. A region between a surge and a dive is the article's if its
+fullest window has ``core_share`` of the page's fullest one, or if it lies in a marked article, of which no passage is too short; all lines from
+its first to its last weighing line are kept, furniture aside. So marks and class names only help: without them the distribution parts
+the article from menus, notices and footers that links or empty stretches set apart; unmarked passages of a few words that are set apart likewise go.
 """
 
 from __future__ import annotations
@@ -31,10 +32,12 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 
 @dataclass(frozen=True)
 class BlockRules:
-    """Lines summed in one window and the share of link text above which a line weighs nothing, both for pages without an article mark."""
+    """Lines summed in one window, the share of link text above which a line outside a marked article weighs nothing, and the share of the page's
+    fullest window that a region's fullest one must have."""
 
     window: int = 3
     link_share: float = 0.5
+    core_share: float = 0.05
 
 
 def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
@@ -125,17 +128,16 @@ def main_text(page: str | None, rules: BlockRules = BlockRules()) -> str:
     """The kept blocks, joined by an empty line; empty if there are none."""
     lines = lines_of(page or "")
     marked = any(inside and not skip for _, skip, inside, _ in lines)
-    if marked:
-        return "\n\n".join(text for text, skip, inside, _ in lines if inside and not skip)
-    weight = [0 if skip or links > rules.link_share * len(text) else len(text) for text, skip, _, links in lines]
+    weight = [0 if skip or (not inside if marked else links > rules.link_share * len(text)) else len(text) for text, skip, inside, links in lines]
     sums = [sum(weight[i : i + rules.window]) for i in range(len(weight))]
-    kept, begin = [], None
+    core, kept, begin = rules.core_share * max(sums, default=0), [], None
     for i, s in enumerate([*sums, 0]):
         if begin is None and s > 0:
             begin = i  # surge
         elif begin is not None and s == 0:  # dive
             heavy = [j for j in range(begin, i) if weight[j]]
-            kept += [lines[j][0] for j in range(heavy[0], heavy[-1] + 1) if not lines[j][1]]
+            if marked or max(sums[begin:i]) >= core:
+                kept += [lines[j][0] for j in range(heavy[0], heavy[-1] + 1) if not lines[j][1] and (weight[j] or not marked)]
             begin = None
     return "\n\n".join(kept)
 

@@ -1,12 +1,15 @@
 import hashlib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from storyloom.llm import chat_format as C
-from storyloom.llm.html_extract import extract_main_text, main_text
+from storyloom.llm.html_extract import BlockRules, extract_main_text, main_text
 from storyloom.llm.tokens import vocabulary_path
 
+from .helpers import prose
+
 T = C.Template()
 PIECE = st.sampled_from([*T.controls, "\\", "<", "[", "/s>", " ", "\n", "a", "é", "中", "INST]", "<\\/s>"])
 TEXT = st.lists(PIECE, max_size=8).map("".join)
@@ -61,3 +64,26 @@ def test_pages(spark):
     got = extract_main_text(df).collect()
     assert len(got) == 3 and {r.main_text for r in got if r.page_id == 2} == {""}
     assert extract_main_text(df.limit(0)).columns == ["page_id", "url", "main_text"]
+
+
+def test_the_distribution_finds_unmarked_articles():
+    """Pages without article marks or telling names: windows part the article from menus, notices and footers; single lines would not do."""
+    r = random.Random(9)
+    for _ in range(40):
+        links = lambda n: "".join(f'<div><a href="/{i}">{prose(r, 3)}</a></div>' for i in range(n))
+        article = [prose(r, r.choice([1, 4, 30, 60, 90])) for _ in range(r.randint(6, 14))]
+        article[0], article[-1] = prose(r, 70), prose(r, 40)
+        body = [f"<div>{x}</div>" for x in article]
+        body.insert(3, links(1))  # a link of its own line between short and long paragraphs
+        page = f"<body>{links(4)}<div>{prose(r, 2)}</div>{links(5)}{''.join(body)}{links(4)}<div>{prose(r, 3)}</div>{links(3)}</body>"
+        text = main_text(page)
+        got = text.split("\n\n")
+        assert [x for x in got if x in article] == article and len(got) == len(article) + 1  # the link inside belongs to its region
+    # without windows the link splits the article, and a short first part goes
+    page = f"<body>{links(4)}<div>{prose(r, 3)}</div>{links(1)}<div>{prose(r, 90)}</div>{links(4)}</body>"
+    assert main_text(page).count("\n\n") == 2 and main_text(page, BlockRules(window=1)).count("\n\n") == 0
+
+
+def test_short_passages_of_marked_articles_stay():
+    page = f"<body><article><p>{'word ' * 200}</p><nav><a href='/'>x</a></nav><div class='ads'>a b c</div><div class='ads'>a b c</div><div class='ads'>a b c</div><p>End.</p></article><p>outside the mark</p></body>"
+    assert main_text(page).endswith("word\n\nEnd.")
