@@ -15,8 +15,8 @@ MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 WORD_RUN = r"[\p{L}\p{N}_]{3,}"
 NUMBER = r"\b\d[\d,\.]*%?\b"
 DATE = r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4}\b|\b\d{4}-\d{2}-\d{2}\b"
-#: A tag, comment end or declaration; another "<" is text.
-TAG = r"<[a-zA-Z/!?][^>]*>"
+#: A tag, comment end or declaration, with quoted values as a whole or, where a quote stays open, up to the next ">"; another "<" is text.
+TAG = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[a-zA-Z/!?][^>]*>"""
 
 
 def words_array(values: Iterable[str]) -> Column:
@@ -55,9 +55,10 @@ def unescape_html(text: Column) -> Column:
 
 
 def clean_html(raw: Column) -> Column:
-    """Plain text of an HTML fragment: script, style, iframe and noscript go with their content, tags become spaces."""
-    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<(script|style|iframe|noscript)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), TAG, " ")
+    """Plain text of an HTML fragment: script, style, iframe and noscript go with their content, tags become spaces (N1). One of these, or a comment,
+    that is never closed goes on to the end."""
+    text = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?is)<(script|style|iframe|noscript)\b.*?(?:</\1\b[^>]*>|\z)", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", " "), TAG, " ")
     return F.regexp_replace(F.regexp_replace(unescape_html(text), r"[\s\x{A0}]+", " "), "^ | $", "")
 
 
@@ -80,14 +81,49 @@ def content_hash(title: Column, url: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lower(F.trim(title)), F.lower(F.trim(url))), 256)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _respelled(s: Column, fallback: Column) -> Column:
+    """Rarer spellings of a time written as the usual ones; all others as they are."""
+    asctime = r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})\s+(\d{1,2}:\d{2}(?::\d{2})?(?:[.,]\d+)?)\s+(?:[A-Za-z]{1,5}\s+)?(\d{4})$"
+    compact = r"^(\d{4})(\d{2})(\d{2})(?:[T\s]?(\d{2})(\d{2})(\d{2})?)?(?![\d:])(.*)$"
+    numbers = r"^(\d{1,2})([/.-])(\d{1,2})\2(\d{4})(?!\d)"
+    hour = r"(?<![:\d])(\d{1,2})\s*([AaPp])\.?[Mm]\b\.?"
+
+    def spread(x: Column) -> Column:
+        part = lambda i: F.regexp_extract(x, compact, i)
+        clock = F.when(part(4) != "", F.concat(F.lit(" "), part(4), F.lit(":"), part(5), F.when(part(6) != "", F.concat(F.lit(":"), part(6))).otherwise(F.lit("")))).otherwise(F.lit(""))
+        return F.when(x.rlike(compact), F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), clock, part(7))).otherwise(x)
+
+    def ordered(x: Column) -> Column:
+        day_first = F.regexp_extract(x, numbers, 1).try_cast("int") > 12
+        return F.when(day_first, F.regexp_replace(x, numbers, "$4-$3-$1")).otherwise(F.regexp_replace(x, numbers, "$4-$1-$3"))
+
+    def completed(x: Column) -> Column:
+        last = F.dayofmonth(F.last_day(F.try_to_timestamp(F.concat(x, F.lit("-01")), F.lit("yyyy-MM-dd"))))
+        return F.when(x.rlike(r"^\d{4}-\d{2}$"), F.concat(x, F.lit("-"), F.lpad(F.least(F.dayofmonth(fallback), last).cast("string"), 2, "0"))).otherwise(x)
+
+    s = _let(_let(F.regexp_replace(s, asctime, "$1 $2 $4 $3"), spread), ordered)
+    return _let(F.regexp_replace(s, hour, "$1:00 $2m"), completed)
+
+
 def parse_time(raw: Column, fallback: Column) -> Column:
     """UTC time of the date spellings that feeds use; what cannot be read is ``fallback``.
 
-    Read are ISO 8601 and days, months' names and years in either order, with a weekday or without, years of two digits (those within fifty
-    years of ``fallback``), 12 and 24 hours, fractions of a second, and offsets with or without a space and a colon. Times without an offset are UTC,
-    and so are those with a zone's name, as names other than UTC, GMT and Z don't tell an offset.
+    Read are ISO 8601, also without separators, and days, months' names and years in either order, with a weekday or without, the year after the
+    clock too, numbers apart by slashes, dots or hyphens (the month first unless it is over 12), years of two digits (those within fifty
+    years of ``fallback``), 12 and 24 hours, hours alone with am or pm, fractions of a second, and offsets with or without a space and a colon. A month
+    without a day takes the day of ``fallback``. Times without an offset are UTC, and so are those with a zone's name, as names other than UTC, GMT
+    and Z don't tell an offset.
     """
     s = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"^(?i)(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+", "")
+    return _let(_respelled(s, fallback), lambda x: _usual_time(x, fallback))
+
+
+def _usual_time(s: Column, fallback: Column) -> Column:
     iso, day_first, month_first = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?![\d])(.*)$", r"^(\d{1,2})(?:st|nd|rd|th)?[\s-]+([A-Za-z]{3,9})\.?,?[\s-]+(\d{4}|\d{2})(?!\d)(.*)$", r"^([A-Za-z]{3,9})\.?\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})(?!\d)(.*)$"
     parts = F.split(
         F.when(s.rlike(iso), F.regexp_replace(s, iso, "$1~$2~$3~$4")).when(s.rlike(day_first), F.regexp_replace(s, day_first, "$3~$2~$1~$4")).when(s.rlike(month_first), F.regexp_replace(s, month_first, "$3~$1~$2~$4")),

@@ -88,3 +88,26 @@ def test_spelled_times(spark):
     assert read("2024-01-05T12:00:00.123456Z") == noon * 1_000_000 + 123456 and read("2024-01-05T12:00:00.5Z") == noon * 1_000_000 + 500000
     for raw in ("soon", "", "2024-13-05", "32 Jan 2024", "5 Foo 2024", "2024-01-05T25:00Z", None):
         assert one(spark, F.unix_seconds(X.parse_time(F.lit(raw).cast("string"), t0))) == 1717200000, raw
+
+
+def test_rarer_spellings_of_times(spark):
+    t0 = F.lit("2024-05-31 00:00:00").cast("timestamp")
+    cases = {
+        "Sat Jan  6 10:00:00 2024": "2024-01-06 10:00:00", "Jan 6 10:00:00 UTC 2024": "2024-01-06 10:00:00", "20240105": "2024-01-05 00:00:00", "20240105T101530Z": "2024-01-05 10:15:30",
+        "20240105T1015": "2024-01-05 10:15:00", "202401051015": "2024-01-05 10:15:00", "05/01/2024 10:00": "2024-05-01 10:00:00", "25/01/2024 10:00": "2024-01-25 10:00:00", "05.01.2024": "2024-05-01 00:00:00",
+        "12-31-2023": "2023-12-31 00:00:00", "Jan 5 2024 3pm": "2024-01-05 15:00:00", "5 January 2024 12 a.m.": "2024-01-05 00:00:00", "2024-02": "2024-02-29 00:00:00", "2024-01": "2024-01-31 00:00:00",
+        "2024-01-05T12:00:00Z": "2024-01-05 12:00:00", "Jan 5 2024 3:30 pm": "2024-01-05 15:30:00", "2024-13": "2024-05-31 00:00:00", "31/31/2024": "2024-05-31 00:00:00", "123456": "2024-05-31 00:00:00",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "s string, want string")
+    got = rows.select("s", "want", X.parse_time(F.col("s"), t0).cast("string").alias("got")).collect()
+    assert {r.s: r.got for r in got} == {r.s: r.want for r in got}
+
+
+def test_markup_with_quotes_and_open_ends(spark):
+    cases = {
+        '<p title="a>b">hi</p>': "hi", "<a href='x>y' class=z>link</a> on": "link on", "a<script>x": "a", "a<SCRIPT type='t'>if (a > b) x</script >b": "a b", "a<!-- b > c": "a", "a<style>p{}": "a",
+        "<p don't>stay</p>": "stay", "<b " + "x='1' " * 3000 + ">many</b>": "many", "1 < 2 > 0 <3": "1 < 2 > 0 <3",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "h string, want string")
+    got = rows.select("h", "want", X.clean_html(F.col("h")).alias("got")).collect()
+    assert {r.h: r.got for r in got} == {r.h: r.want for r in got}
