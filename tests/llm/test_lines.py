@@ -294,7 +294,7 @@ def test_like_lines_meet(low, high):
         met = 0
         for x, y in zip(rows[::2], rows[1::2], strict=True):
             far = sum(((x[c] ^ y[c]) & (1 << 64) - 1).bit_count() for c in ("s1", "s2"))
-            met += bool(set(x["anchors"]) & set(y["anchors"])) and far <= rule.far
+            met += bool(set(x["anchors"]) & set(y["anchors"])) and far <= rule.far and L.share_words(*(L.bag(pairs[z["id"]]) for z in (x, y)), rule.shared_percent)
         assert met * 10 >= 9 * len(rows) // 2, (kind, share, met, len(rows) // 2)
 
 
