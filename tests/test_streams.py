@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from storyloom.operators import cluster
@@ -49,7 +51,7 @@ def test_cluster_stream_equals_one_pass(spark, tmp_path):
     got = spark.read.parquet(store)
     assert got.count() == 5 and {r.id: r.cluster_id for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
     assert {r.id: r.cluster_id for r in cluster.greedy_clusters(spark.createDataFrame(rows, schema)).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
-    near = flow.open_history(spark.createDataFrame(rows[4:], schema).where("id = 5"), got.where("id < 5"))
+    near = flow.open_clusters(cluster.cluster_table(got, got).where("cluster_id < 5"), 9 * day, 9 * day)
     assert near.count() == 0
 
 
@@ -65,3 +67,30 @@ def test_windows_and_sessions_of_a_stream(spark, tmp_path):
         assert q.exception() is None
         got = {tuple(r) for r in spark.table(f"out_{name}").collect()}
         assert got == {tuple(r) for r in of(a.where("h < 1000")).collect()}
+
+
+def test_shuffled_batches_equal_one_pass(spark, tmp_path):
+    """Batches in any order within the lateness, with a repeated one, give the clusters of one pass; an article behind the watermark is placed late."""
+    schema, hour, rng = "id long, title string, category string, published_us long", 3_600_000_000, random.Random(7)
+    words = "council storm budget river bridge market school harbor train festival".split()
+    rows = [(i, " ".join(rng.sample(words, 4)), rng.choice(("world", "general", "business")), rng.randrange(0, 72) * hour) for i in range(60)]
+    rows[5] = (5, "to of", "world", rows[5][3])  # no informative token
+    late_by = [(r, r[3] + rng.randrange(0, 18) * hour) for r in rows]
+    come = [r for r, _ in sorted(late_by, key=lambda x: x[1])]
+    land, store = str(tmp_path / "land"), str(tmp_path / "store")
+    run = lambda: flow.cluster_stream(spark.readStream.schema(schema).parquet(land), store, str(tmp_path / "state"), lateness_hours=18)
+    for batch in (come[:25], come[:25], come[25:]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(land)
+        q = run()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    placed, waiting = spark.read.parquet(store), flow.waiting_clusters(spark, store)
+    got = {r.id: r.cluster_id for r in placed.select("id", "cluster_id").unionByName(waiting.select("id", "cluster_id")).collect()}
+    one = {r.id: r.cluster_id for r in cluster.greedy_clusters(spark.createDataFrame(rows, schema)).collect()}
+    assert placed.count() + waiting.count() == 60 and 0 < waiting.count() < 60
+    assert got == one and len(set(one.values())) < 50 and not placed.where("late").count()
+    spark.createDataFrame([(100, rows[0][1], rows[0][2], 0)], schema).write.mode("append").parquet(land)
+    q = run()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    assert [r.id for r in spark.read.parquet(store).where("late").collect()] == [100]
