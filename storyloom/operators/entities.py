@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,16 +22,30 @@ def gazetteer(spark: SparkSession, extra: Iterable[tuple[str, str, float]] = ())
 
 
 def known_names(articles: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, term): each known term that stands between word boundaries in title and summary.
+    """(id, term): each known term that stands between word boundaries in title and summary (E1), also within and across other terms.
 
-    The terms, a parameter list, become one alternation, the longer first; a text is searched once. Terms must not nest as whole words.
+    Texts and terms are cut alike into words and single other characters, so a term is a run of pieces. Runs of the lengths that terms have are
+    joined with the terms: Spark broadcasts a short list and shuffles a long one, and terms may be as many as they like. Terms are lower case.
     """
-    terms = sorted((r["term"] for r in names.select("term").distinct().collect()), key=lambda t: (-len(t), t))
-    if not terms:
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_])"), F.lit(1))
+    is_word = lambda c: c.rlike(r"^[\p{L}\p{N}_]")
+    terms = names.select("term").where("term <> ''").distinct()
+    sizes = sorted(r["n"] for r in terms.select(F.size(pieces(F.col("term"))).alias("n")).distinct().collect())  # one number for each length
+    if not sizes:
         return articles.select("id", F.lit(None).cast("string").alias("term")).limit(0)
-    pattern = r"(?<![\p{L}\p{N}_])(" + "|".join(re.escape(t).replace(r"\ ", " ") for t in terms) + r")(?![\p{L}\p{N}_])"
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit(""))))
-    return articles.select("id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 1))).alias("term"))
+    cut = articles.select("id", pieces(text).alias("p")).where(F.size("p") > 0)
+    # a word piece has no word before or after it; another piece may, and then no term begins or ends there
+    piece = lambda i: F.get("p", i)
+    begins = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: (i == 0) | ~is_word(piece(i - 1)))
+    cut = cut.withColumn("begins", begins)
+
+    def found(n: int):
+        ends = lambda i: (i + n <= F.size("p")) & ((i + n == F.size("p")) | ~is_word(piece(i + n)))
+        return F.transform(F.filter("begins", ends), lambda i: F.array_join(F.slice("p", i + 1, n), ""))
+
+    runs = cut.select("id", F.explode(F.array_distinct(F.flatten(F.array(*(found(n) for n in sizes))))).alias("term"))
+    return runs.join(terms, "term").select("id", "term")
 
 
 def proper_nouns(articles: DataFrame, stop_words: Iterable[str] = V.ENTITY_STOP_WORDS) -> DataFrame:
@@ -63,7 +76,7 @@ def article_entities(articles: DataFrame, names: DataFrame) -> DataFrame:
 
     A dictionary match beats a proper noun of the same key, and the first phrase of a title beats later ones.
     """
-    known = known_names(articles, names).join(F.broadcast(names), "term").select("id", F.lit(0).alias("rank"), F.lit(0).alias("pos"), "norm", "name", "entity_type", "confidence")
+    known = known_names(articles, names).join(names, "term").select("id", F.lit(0).alias("rank"), F.lit(0).alias("pos"), "norm", "name", "entity_type", "confidence")
     nouns = proper_nouns(articles).select("id", F.lit(1).alias("rank"), "pos", entity_key(F.col("name")).alias("norm"), "name", "entity_type", F.lit(0.75).alias("confidence")).where("norm <> ''")
     best = known.unionByName(nouns).groupBy("id", "norm").agg(F.min(F.struct("rank", "pos", "name", "entity_type", "confidence")).alias("b"))
     return best.select("id", "norm", "b.name", "b.entity_type", "b.confidence")

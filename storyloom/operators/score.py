@@ -42,7 +42,11 @@ def freshness(last_us: Column, as_of_us: int) -> Column:
 
 def corroboration(members: DataFrame, articles: DataFrame, sources: DataFrame) -> DataFrame:
     """(cluster_id, source_count, corroboration, label). Source and cluster pairs are made distinct before the small source table joins."""
-    pairs = members.join(articles.select("id", "source_id"), "id").select("cluster_id", "source_id").distinct()
+    return corroboration_of(members.join(articles.select("id", "source_id"), "id").select("cluster_id", "source_id").distinct(), sources)
+
+
+def corroboration_of(pairs: DataFrame, sources: DataFrame) -> DataFrame:
+    """``corroboration`` from distinct pairs (cluster_id, source_id)."""
     weight = _lookup(F.col("trust_level"), TRUST_WEIGHTS, 1.0)
     joined = pairs.join(sources.select(F.col("id").alias("source_id"), weight.alias("w")), "source_id")
     per = joined.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("source_count"), F.sum("w").alias("w"))
@@ -73,7 +77,12 @@ def state(t: Column, v: Column, f: Column, articles: Column, sources: Column) ->
 
 def score_clusters(clusters: DataFrame, members: DataFrame, articles: DataFrame, sources: DataFrame, mentions: DataFrame | None, as_of_us: int) -> DataFrame:
     """All signals of every cluster. ``clusters`` has cluster_id and category, ``mentions`` (cluster_id, entity) or none."""
-    out = clusters.join(coverage(members, articles, as_of_us), "cluster_id", "left").join(corroboration(members, articles, sources), "cluster_id", "left")
+    return signals(clusters, coverage(members, articles, as_of_us), corroboration(members, articles, sources), mentions, as_of_us)
+
+
+def signals(clusters: DataFrame, cover: DataFrame, sourced: DataFrame, mentions: DataFrame | None, as_of_us: int) -> DataFrame:
+    """All signals from the counts of ``coverage`` and ``corroboration``."""
+    out = clusters.join(cover, "cluster_id", "left").join(sourced, "cluster_id", "left")
     if mentions is not None:
         out = out.join(mentions.distinct().groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_entities")), "cluster_id", "left")
     else:

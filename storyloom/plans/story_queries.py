@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import brief, cluster, dedup, entities, history, score, views
-from ..operators.graph import stored
+from ..operators import brief, cluster, dedup, entities, history, partials, score, views
+from ..operators.graph import discard, new_path, stored
 from . import model
 
 #: Names beyond the known ones that the invented prose uses, so that the gazetteer has work to do.
@@ -101,6 +101,28 @@ def rescored_stories(spark, sf_dir):
     return score.rescore_clusters(touched, clusters, members, art, model.sources(spark, sf_dir), mentions, t).select(*STORY_COLUMNS)
 
 
+def incremental_scores(spark, sf_dir):
+    """The same from partial aggregates: the articles before the newest day are one batch of the store, those of the newest day another."""
+    art = model.articles(spark, sf_dir)
+    members, t = stored(model.memberships(art), "memberships"), model.as_of(art)
+    new, store = F.col("published_us") > t - 86_400_000_000, new_path(spark, "partials")
+    for name, rows in (("old", art.where(~new)), ("new", art.where(new))):
+        partials.add_batch(members, rows, store, name)
+    touched = members.join(art.where(new).select("id"), "id", "left_semi")
+    clusters = art.select(F.col("id").alias("cluster_id"), "title", "category")
+    mentions = entities.cluster_mentions(_links(spark, art), members).select("cluster_id", F.col("norm").alias("entity"))
+    out = stored(partials.rescore(spark, store, touched, clusters, model.sources(spark, sf_dir), mentions, t).select(*STORY_COLUMNS), "rescored")
+    for path in (store, f"{store}-rows"):
+        discard(spark, path)
+    return out
+
+
+def story_changes(spark, sf_dir):
+    """Every story's openings, and closings after 48 hours without an article."""
+    art = model.articles(spark, sf_dir)
+    return partials.story_changes(partials.hourly(model.memberships(art), art), 48 * score.HOUR, model.as_of(art))
+
+
 def trending_top20(spark, sf_dir):
     return views.list_trending(scored(spark, sf_dir), 20).select("cluster_id", "title", "trending", "state")
 
@@ -249,7 +271,7 @@ def evidence_articles(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     story_scores, trending_top20, trending_per_category, stories_recent, story_dashboard, story_page, story_search, story_labels, story_explanations, story_detail, state_transitions,
-    rescored_stories, entity_links, entity_dimension, entity_mentions, entity_listing, title_tokens, exact_duplicates, near_title_pairs, near_title_members, similar_title_pairs, new_against_history, leader_pass,
+    rescored_stories, incremental_scores, story_changes, entity_links, entity_dimension, entity_mentions, entity_listing, title_tokens, exact_duplicates, near_title_pairs, near_title_members, similar_title_pairs, new_against_history, leader_pass,
     best_clusters, cluster_table, greedy_clusters, clustering_summary, evidence_articles,
 )}
 
@@ -311,6 +333,12 @@ ORACLES = {
     + """ SELECT count(*) AS articles_evaluated, count(*) FILTER (method = 'seed') AS clusters_created, count(*) AS articles_assigned, count(DISTINCT cluster_id) FILTER (method = 'lexical') AS clusters_updated,
   (SELECT count(*) FROM lnk) AS entities_linked, count(DISTINCT cluster_id) AS clusters_scored FROM gre""",
     "rescored_stories": STORY + f"SELECT {', '.join(STORY_COLUMNS)} FROM sto WHERE cluster_id IN (SELECT cluster_id FROM mem JOIN art USING (id), newest WHERE published_us > t - 86400000000)",
+    "incremental_scores": STORY + f"SELECT {', '.join(STORY_COLUMNS)} FROM sto WHERE cluster_id IN (SELECT cluster_id FROM mem JOIN art USING (id), newest WHERE published_us > t - 86400000000)",
+    "story_changes": f"""WITH {BASE}, s AS (SELECT cluster_id, id, published_us, CASE WHEN published_us - lag(published_us) OVER (PARTITION BY cluster_id ORDER BY published_us, id) <= 172800000000 THEN 0 ELSE 1 END AS b FROM mem JOIN art USING (id)),
+g AS (SELECT *, sum(b) OVER (PARTITION BY cluster_id ORDER BY published_us, id ROWS UNBOUNDED PRECEDING) AS k FROM s),
+p AS (SELECT cluster_id, k, min(published_us) AS first_us, max(published_us) AS last_us, count(*) AS articles FROM g GROUP BY cluster_id, k)
+SELECT cluster_id, 'opened' AS change, first_us AS at_us, NULL::BIGINT AS articles FROM p UNION ALL
+SELECT cluster_id, 'closed', last_us + 172800000000, articles FROM p, newest WHERE last_us + 172800000000 <= t""",
     "story_scores": STORY + "SELECT " + ", ".join(STORY_COLUMNS) + " FROM sto",
     "trending_top20": STORY + "SELECT cluster_id, title, trending, state FROM sto ORDER BY trending DESC, cluster_id LIMIT 20",
     "trending_per_category": STORY + "SELECT category, rank, cluster_id, trending FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY trending DESC, cluster_id)::INTEGER AS rank FROM sto) WHERE rank <= 5",
