@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocabulary as V
-from ..operators import brief, cluster, dedup, entities, history, partials, score, views
+from ..operators import brief, cluster, dedup, entities, history, partials, postings, score, views
 from ..operators.graph import discard, new_path, stored
 from . import model
 
@@ -148,6 +148,32 @@ def story_search(spark, sf_dir):
     return views.search(stories, "The", "WORLD").select("cluster_id", "title")
 
 
+#: Queries of the index: short, long, of any case, with signs, and one that nothing holds.
+SEARCHES = ("q", "RE", "the", "ung der", "Con", "e, ", "tion", "no such words here")
+
+
+def indexed_search(spark, sf_dir):
+    """Searches of titles and whole texts through stored postings."""
+    art, store = model.articles(spark, sf_dir).select("id", "title", F.col("content").alias("summary")), new_path(spark, "postings")
+    for name in (0, 1):
+        postings.add_batch(art.where(F.col("id") % 2 == name), store, str(name))
+    out = postings.search(spark, store, art, spark.createDataFrame([(q,) for q in SEARCHES], "query string"))
+    for path in (store, f"{store}-counts"):
+        discard(spark, path)
+    return out
+
+
+def story_seek(spark, sf_dir):
+    """The third page of stories by score, reached by the last keys of the pages before it."""
+    order, path, after = [("trending", True), ("cluster_id", False)], new_path(spark, "pages"), None
+    views.write_sorted(scored(spark, sf_dir).select("cluster_id", "trending", "title"), order, path)
+    pages = spark.read.parquet(path)
+    for _ in range(2):
+        last = views.seek_page(pages, order, 25, after).tail(1)  # one row names where the next page begins
+        after = (last[0]["trending"], last[0]["cluster_id"])
+    return views.seek_page(pages, order, 25, after).crossJoin(F.broadcast(spark.read.parquet(f"{path}-total")))
+
+
 def story_labels(spark, sf_dir):
     explained = score.explanation(scored(spark, sf_dir))
     kept = explained.withColumn("scoring_metadata", F.when(F.col("article_count") > 1, F.col("scoring_metadata")))
@@ -271,7 +297,7 @@ def evidence_articles(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     story_scores, trending_top20, trending_per_category, stories_recent, story_dashboard, story_page, story_search, story_labels, story_explanations, story_detail, state_transitions,
-    rescored_stories, incremental_scores, story_changes, entity_links, entity_dimension, entity_mentions, entity_listing, title_tokens, exact_duplicates, near_title_pairs, near_title_members, similar_title_pairs, new_against_history, leader_pass,
+    indexed_search, story_seek, rescored_stories, incremental_scores, story_changes, entity_links, entity_dimension, entity_mentions, entity_listing, title_tokens, exact_duplicates, near_title_pairs, near_title_members, similar_title_pairs, new_against_history, leader_pass,
     best_clusters, cluster_table, greedy_clusters, clustering_summary, evidence_articles,
 )}
 
@@ -333,6 +359,8 @@ ORACLES = {
     + """ SELECT count(*) AS articles_evaluated, count(*) FILTER (method = 'seed') AS clusters_created, count(*) AS articles_assigned, count(DISTINCT cluster_id) FILTER (method = 'lexical') AS clusters_updated,
   (SELECT count(*) FROM lnk) AS entities_linked, count(DISTINCT cluster_id) AS clusters_scored FROM gre""",
     "rescored_stories": STORY + f"SELECT {', '.join(STORY_COLUMNS)} FROM sto WHERE cluster_id IN (SELECT cluster_id FROM mem JOIN art USING (id), newest WHERE published_us > t - 86400000000)",
+    "indexed_search": f"WITH {BASE} SELECT query, id FROM art, (VALUES " + ", ".join(f"('{q}')" for q in SEARCHES) + ") v(query) WHERE contains(lower(title), lower(query)) OR contains(lower(content), lower(query))",
+    "story_seek": STORY + "SELECT cluster_id, trending, title, (SELECT count(*) FROM sto) AS total FROM sto ORDER BY trending DESC, cluster_id LIMIT 25 OFFSET 50",
     "incremental_scores": STORY + f"SELECT {', '.join(STORY_COLUMNS)} FROM sto WHERE cluster_id IN (SELECT cluster_id FROM mem JOIN art USING (id), newest WHERE published_us > t - 86400000000)",
     "story_changes": f"""WITH {BASE}, s AS (SELECT cluster_id, id, published_us, CASE WHEN published_us - lag(published_us) OVER (PARTITION BY cluster_id ORDER BY published_us, id) <= 172800000000 THEN 0 ELSE 1 END AS b FROM mem JOIN art USING (id)),
 g AS (SELECT *, sum(b) OVER (PARTITION BY cluster_id ORDER BY published_us, id ROWS UNBOUNDED PRECEDING) AS k FROM s),
