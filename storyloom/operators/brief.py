@@ -28,7 +28,7 @@ def evidence_articles(members: DataFrame, articles: DataFrame, sources: DataFram
     url = F.col("canonical_url") if "canonical_url" in articles.columns else F.format_string("https://example.org/a/%d", "id")
     out = named.withColumn("excerpt", excerpt(F.col("content"), summary, F.col("title"))).withColumn("canonical_url", url)
     said = F.concat_ws(" ", "title", "excerpt")
-    lead = F.trim(F.when(F.col("excerpt") == "", F.col("title")).otherwise(F.regexp_replace(F.substring_index("excerpt", ". ", 1), r"\.+$", "")))
+    lead = F.trim(F.when(F.col("excerpt") == "", F.col("title")).otherwise(F.regexp_replace(F.substring_index("excerpt", ". ", 1), r"\.+\z", "")))
     return out.select("cluster_id", "rank", "id", "title", "excerpt", "source_id", "publisher", "publisher_trust", "published_us", "canonical_url", numbers(said).alias("numbers"), dates(said).alias("dates"), lead.alias("lead"))
 
 
