@@ -23,11 +23,11 @@ def first_words(text: str = "text", n: int = 12) -> F.Column:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # titles are cut before the join, so texts are shuffled only where they are asked for
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang", first_words().alias("title"))
+    # titles are cut and texts measured before the join, so texts are shuffled only where they are asked for
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang", first_words().alias("title"), F.length("text").alias("content_chars"))
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "event_type", F.expr("unix_micros(cast(ts as timestamp))").alias("published_us"))
     category = F.expr("case event_type when 'view' then 'world' when 'signup' then 'technology' when 'error' then 'politics' when 'click' then 'business' else 'general' end")
-    return d.join(e, "doc_id").select(F.col("doc_id").alias("id"), F.expr("cast(substring(source, 4) as bigint)").alias("source_id"), "title", F.col("text").alias("content"), F.col("lang").alias("language"), category.alias("category"), "published_us")
+    return d.join(e, "doc_id").select(F.col("doc_id").alias("id"), F.expr("cast(substring(source, 4) as bigint)").alias("source_id"), "title", F.col("text").alias("content"), "content_chars", F.col("lang").alias("language"), category.alias("category"), "published_us")
 
 
 def memberships(art: DataFrame) -> DataFrame:
