@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocabulary as V
 from ..operators import brief, entities, guard, ledger, normalize, quality, score, views
+from ..operators.graph import Scratch, stored
 from ..sources import feeds, tables
 from ..streaming import flow
 from . import model
@@ -198,11 +199,13 @@ def guard_snippets(spark, sf_dir):
 
 def package_flags(spark, sf_dir):
     """Risk flags of every package: those of the whole copy and those of its summary and body."""
-    b = _bundles(spark, sf_dir)
-    p = brief.package(brief.briefs(b))
+    scratch = Scratch(spark, "packages")
+    p = scratch.put(_package(spark, sf_dir), "packages")  # read by each of the three checks
     checked = guard.check(p)
     sections = [guard.check(p, text_col=c).select("cluster_id", F.explode_outer("flags").alias("flag")).where("flag is not null") for c in ("summary", "body")]
-    return brief.risk_flags(p, checked, sections[0].unionByName(sections[1])).select("cluster_id", F.array_join("risk_flags", "|").alias("risk_flags"))
+    out = stored(brief.risk_flags(p, checked, sections[0].unionByName(sections[1])).select("cluster_id", F.array_join("risk_flags", "|").alias("risk_flags")), "package-flags")
+    scratch.close()
+    return out
 
 
 def copy_quality(spark, sf_dir):
