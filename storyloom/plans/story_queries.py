@@ -192,15 +192,19 @@ def story_detail(spark, sf_dir):
 
 def state_transitions(spark, sf_dir):
     """Snapshots every 12 hours before the newest article, and the state changes between them."""
-    art = model.articles(spark, sf_dir)
-    members, src, t = model.memberships(art), model.sources(spark, sf_dir), model.as_of(art)
+    scratch = Scratch(spark, "states")
+    art = scratch.put(model.articles(spark, sf_dir).select("id", "source_id", "title", "category", "published_us"), "articles")
+    members, src, t = scratch.put(model.memberships(art), "members"), model.sources(spark, sf_dir), model.as_of(art)
     clusters = art.select(F.col("id").alias("cluster_id"), "title", "category").join(members.select("cluster_id").distinct(), "cluster_id", "left_semi")
     snaps = None
     for back in (24, 12, 0):
         at = t - back * score.HOUR
         s = score.score_clusters(clusters, members, art, src, None, at).select("cluster_id", F.lit(at).cast("long").alias("as_of_us"), "state")
+        s = scratch.put(s, "snapshot")  # each by itself, so that a task holds the joins of one snapshot
         snaps = s if snaps is None else snaps.unionByName(s)
-    return score.transitions(snaps)
+    out = stored(score.transitions(snaps), "transitions")
+    scratch.close()
+    return out
 
 
 def entity_links(spark, sf_dir):
@@ -257,11 +261,11 @@ def new_against_history(spark, sf_dir):
     index = scratch.put(history.index_rows(kept), "title-index")
     newest = art.where(F.col("published_us") > cut).withColumn("id", F.col("id") + (1 << 40))
     out = history.resolve(newest, index)
+    scratch.close()
     return out.select((F.col("id") - (1 << 40)).alias("id"), "is_duplicate", F.when(F.col("duplicate_of_id") >= 1 << 40, F.col("duplicate_of_id") - (1 << 40)).otherwise(F.col("duplicate_of_id")).alias("duplicate_of_id"), "reason")
 
 
 def leader_pass(spark, sf_dir):
-    scratch.close()
     art = model.articles(spark, sf_dir)
     keyed = art.select("id", "title", X.content_hash(F.col("title"), F.col("language")).alias("content_hash"), F.concat(F.lit("https://example.org/"), F.col("id").cast("string")).alias("canonical_url"))
     return dedup.leader_pass(keyed)
