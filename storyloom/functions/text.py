@@ -129,20 +129,31 @@ def _usual_time(s: Column, fallback: Column) -> Column:
         F.when(s.rlike(iso), F.regexp_replace(s, iso, "$1~$2~$3~$4")).when(s.rlike(day_first), F.regexp_replace(s, day_first, "$3~$2~$1~$4")).when(s.rlike(month_first), F.regexp_replace(s, month_first, "$3~$1~$2~$4")),
         "~",
     )
-    year, month, day, rest = (F.get(parts, i) for i in range(4))
+    clock = r"^[T,\s]*(?:(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([AaPp](?=\.?[Mm]))?(?:\.?[Mm]\.?)?)?\s*(?:(?:[A-Za-z]{1,5})?\s*(?:([+-])(\d{2}):?(\d{2})?)?)?(?:\s*\([A-Za-z ]+\))?\s*$"
+    # the parts of the date and of the clock are cut once, not again for each use of one of them
+    cut = lambda rest: F.when(rest.rlike(clock), F.split(F.regexp_replace(rest, clock, "~".join(f"${i}" for i in range(1, 9))), "~", -1))
+    return _let(parts, lambda p: _let(cut(F.get(p, 3)), lambda c: _time_of_parts(p, c, fallback)))
+
+
+def _time_of_parts(parts: Column, clock: Column, fallback: Column) -> Column:
+    """The time of year, month and day (``parts``) and of hour, minute, second, fraction, half of the day, sign, hours and minutes of the offset (``clock``,
+    empty where one is missing, null if the clock cannot be read)."""
+    year, month, day = (F.get(parts, i) for i in range(3))
     spelled = F.nullif(F.array_position(words_array(MONTHS), F.lower(F.substring(month, 1, 3))), F.lit(0))
     month = F.when(month.rlike("^[0-9]+$"), month.cast("int")).otherwise(spelled.cast("int"))
     now = F.coalesce(F.year(fallback), F.lit(2000))
     near = now - F.pmod(now, F.lit(100)) + year.cast("int")
     year = F.when(F.length(year) == 4, year.cast("int")).when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
-    clock = r"^[T,\s]*(?:(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([AaPp](?=\.?[Mm]))?(?:\.?[Mm]\.?)?)?\s*(?:(?:[A-Za-z]{1,5})?\s*(?:([+-])(\d{2}):?(\d{2})?)?)?(?:\s*\([A-Za-z ]+\))?\s*$"
-    got = lambda i, default: F.when(F.regexp_extract(rest, clock, i) == "", F.lit(default)).otherwise(F.regexp_extract(rest, clock, i))
+    got = lambda i, default: F.coalesce(F.nullif(F.get(clock, i - 1), F.lit("")), F.lit(default))
     hour, half = got(1, "0").cast("int"), F.lower(got(5, ""))
     hour = F.when(half == "", hour).otherwise(F.pmod(hour, F.lit(12)) + F.when(half == "p", 12).otherwise(0))
-    local = F.format_string("%04d-%02d-%02d %02d:%s:%s.%s", year, month, day.cast("int"), hour, got(2, "00"), got(3, "00"), F.rpad(F.substring(got(4, "0"), 1, 6), 6, "0"))
-    offset = F.concat(got(6, "+"), got(7, "00"), F.lit(":"), got(8, "00"))
-    time = F.try_to_timestamp(F.concat(local, offset), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSxxx"))
-    return F.coalesce(F.when(rest.rlike(clock) & month.isNotNull(), time), fallback)
+
+    def read(month: Column) -> Column:
+        local = F.format_string("%04d-%02d-%02d %02d:%s:%s.%s", year, month, day.cast("int"), hour, got(2, "00"), got(3, "00"), F.rpad(F.substring(got(4, "0"), 1, 6), 6, "0"))
+        offset = F.concat(got(6, "+"), got(7, "00"), F.lit(":"), got(8, "00"))
+        return F.when(month.isNotNull(), F.try_to_timestamp(F.concat(local, offset), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSxxx")))
+
+    return F.coalesce(F.when(clock.isNotNull(), _let(month, read)), fallback)
 
 
 def title_tokens(title: Column) -> Column:
