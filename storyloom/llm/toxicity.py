@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import unused
 from .textops import U64, Words, chunks, mix64, runs
 
 PREFIXES = (3, 4, 5, 6)
@@ -296,3 +297,20 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, score double, n_toxic_tokens long" + (", spans array<struct<start:int,end:int,score:double>>" if with_spans else "")
     return rows.mapInArrow(_tagged(shared, with_spans), schema).withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, chain: Chain, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores under ``least``, each judged where it is read: neither rows nor texts are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    (said,) = unused(docs, "said")
+    rows = docs.withColumn(said, F.col(text_col).cast("string"))
+
+    def kept(batches):
+        tagged = _tagged(shared, False)
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(batch.num_columns - 1)], names=["id", "text"])
+            scores = [x.column(1).to_numpy() for x in tagged([texts])]
+            few = batch.select(range(batch.num_columns - 1))
+            yield few.filter(pa.array(np.concatenate(scores) < least)) if scores else few
+
+    return rows.mapInArrow(kept, docs.schema)
