@@ -5,7 +5,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from storyloom.operators import brief, cluster, dedup
+import pytest
+
+from storyloom.functions import text as X
+from storyloom.operators import brief, cluster, dedup, postings
+from storyloom.plans import desk_queries, model, story_queries
 
 HOUR = 3_600_000_000
 
@@ -55,3 +59,29 @@ def test_lead_keeps_a_full_stop_before_a_line_end(spark):
     sources = spark.createDataFrame([(1, "src1", "low")], "id long, name string, trust_level string")
     leads = {r["id"]: r["lead"] for r in brief.evidence_articles(members, articles, sources).collect()}
     assert leads == {1: "First one.\n", 2: "Second one"}
+
+
+def test_a_time_is_cut_into_parts_once(spark):
+    parsed = spark.createDataFrame([("Fri, 05 Jan 2024 10:00:00 GMT",)], "raw string").select(X.parse_time(F.col("raw"), F.lit("2024-01-05 00:00:00").cast("timestamp")).alias("t"))
+    assert parsed._jdf.queryExecution().analyzed().toString().count("[AaPp](?=") <= 4  # over 20 before
+
+
+def test_postings_are_rows_for_blocks_of_texts(spark, tmp_path):
+    texts = spark.createDataFrame([(i, "harbour", "storm") for i in range(500)], "id long, title string, summary string").coalesce(1)
+    postings.add_batch(texts, str(tmp_path / "p"), "0")
+    runs = {t[i : i + k] for t in ("harbour", "storm") for k in (0, 1, 2, 3) for i in range(len(t) - k + 1)}
+    rows = spark.read.parquet(str(tmp_path / "p")).select("run", F.size("ids").alias("n")).collect()
+    assert {r["run"] for r in rows} == runs and len(rows) == len(runs) and {r["n"] for r in rows} == {500}
+    counts = spark.read.parquet(str(tmp_path / "p-counts")).select("run", "n").collect()
+    assert dict(map(tuple, counts)) == dict.fromkeys(runs, 500)
+
+
+def test_texts_are_measured_before_the_join(spark):
+    plan = model.articles(spark, "/root/testdata/sf0.001").select("id", "content_chars")._jdf.queryExecution().optimizedPlan().toString()
+    top, below = plan.split("Join", 1)
+    assert "length(text" in below and "text" not in top
+
+
+@pytest.mark.parametrize("query", [story_queries.state_transitions, desk_queries.package_flags])
+def test_shared_steps_are_stored(spark, query):
+    assert "Join" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
