@@ -309,3 +309,23 @@ def test_groups_do_not_depend_on_the_size_of_buckets(spark, monkeypatch):
         monkeypatch.setattr(L, "TILE", tile)
         found.append({x.id: x.group for x in L.line_groups(docs(spark, rows)).collect()})
     assert found[0] == found[1]
+
+
+def test_shared_words_and_cut_distances_of_many_pairs(monkeypatch):
+    r = random.Random(11)
+    lines = [" ".join(r.choice(("a", "a", "bb", "ccc", "dé", "e")) for _ in range(r.randrange(1, 14))) for _ in range(50)]
+    i, j = (np.array(x) for x in zip(*[(x, y) for x in range(50) for y in range(50)], strict=True))
+    assert L.Bags(lines).share(i, j, 50).tolist() == [L.share_words(L.bag(lines[x]), L.bag(lines[y]), 50) for x, y in zip(i, j, strict=True)]
+    # long unlike pairs go before their texts end, like ones get their distances
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    pairs = [(text(700), text(760)) for _ in range(40)]
+    pairs += [(x, x[: 11 * k] + text(k) + x[13 * k :]) for x, k in ((text(650), k) for k in range(40))]
+    most = [max(map(len, p)) // 5 for p in pairs]
+    columns, least = [], L._least
+    monkeypatch.setattr(L, "_least", lambda *a: (columns.append(a[8]), least(*a))[1])
+    monkeypatch.setattr(L, "VECTOR_LEAST", 0)
+    got, want = L.edit_distances(pairs, most), [L.edit_distance(*p) for p in pairs]
+    assert [d if w <= m else d > m for d, w, m in zip(got, want, most, strict=True)] == [w if w <= m else True for w, m in zip(want, most, strict=True)]
+    columns.clear()
+    assert min(L.edit_distances(pairs[:40], most[:40])) > 140 and max(columns) < 600
+    assert L.TILE <= 512
