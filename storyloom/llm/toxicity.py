@@ -106,7 +106,7 @@ def _odds(e: np.ndarray, first: np.ndarray, length: np.ndarray, a: np.ndarray, s
     return fw, bw, x
 
 
-def marginals(chain: Chain, tokens: Tokens | Sample) -> np.ndarray:
+def marginals(chain: Chain, tokens: Tokens) -> np.ndarray:
     e = sum(chain.weights[_indices(k, chain.bits)].astype(np.float64) for k in tokens.kinds) + chain.bias
     fw, bw, _ = _odds(e, tokens.first, tokens.length, chain.trans, chain.start)
     odds = fw * bw
@@ -152,21 +152,40 @@ class _Part:
         self.n_texts, self.text, self.first, self.length, self.kinds = t.words.n_texts, t.text, t.first, t.length, t.kinds
 
 
+#: Tokens of the training texts that a pass of the fit goes through together, so the driver holds few numbers for each of the others.
+PART = 1 << 16
+
+
 class Sample:
     """The tokens of all training texts, gathered chunk by chunk."""
 
     def __init__(self, texts: list[str]):
-        parts = [_Part(Tokens(data, offsets)) for _, _, data, offsets in chunks(pa.array(texts, pa.string()), 500_000)]
+        parts = [_Part(Tokens(data, offsets)) for _, _, data, offsets in chunks(pa.array(texts, pa.string()), 100_000)]
         rows = np.cumsum([0, *(p.n_texts for p in parts)])
         size = np.cumsum([0, *(len(p.text) for p in parts)])
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         self.text = join([p.text + a for p, a in zip(parts, rows, strict=False)])
         self.first = join([p.first + a for p, a in zip(parts, size, strict=False)])
         self.length = join([p.length for p in parts])
-        self.kinds = [join([p.kinds[k] for p in parts]).astype(U64) for k in range(len(PREFIXES) + 2)]
+        self.kinds = []
+        for _ in range(len(PREFIXES) + 2):  # one kind after the other, so none is held twice for long
+            self.kinds.append(join([p.kinds.pop(0) for p in parts]).astype(U64, copy=False))
 
     def features(self, bits: int) -> np.ndarray:
-        return np.stack([_indices(k, bits) for k in self.kinds])
+        out = np.empty((len(self.kinds), len(self.text)), np.int32)
+        for row, kind in zip(out, self.kinds, strict=True):
+            row[:] = _indices(kind, bits)
+        return out
+
+    def cuts(self) -> list[tuple[slice, slice]]:
+        """Runs of whole sentences of about ``PART`` tokens: their tokens and their sentences."""
+        n = len(self.text)
+        if not n:
+            return []
+        heads = np.unique(np.searchsorted(self.first, np.arange(0, n, PART)))
+        heads = heads[heads < len(self.first)]
+        ends, tokens = np.append(heads[1:], len(self.first)), np.append(self.first[heads], n)
+        return [(slice(*t), slice(*h)) for t, h in zip(zip(tokens[:-1], tokens[1:], strict=True), zip(heads, ends, strict=True), strict=True)]
 
 
 def _indices(kind: np.ndarray, bits: int) -> np.ndarray:
@@ -180,28 +199,29 @@ def fit_chain(texts: list[str], toxic: np.ndarray, prior: float, fit: Fit = Fit(
     y = _marked(tokens, toxic, fit).astype(np.float64)
     size = 1 << fit.feature_bits
     f = tokens.features(fit.feature_bits)
+    tokens.kinds.clear()
     w, bias, log_a, start = np.zeros(size), -4.0, np.zeros((2, 2)), 0.0
-    emissions = lambda w, bias: sum(w[row] for row in f) + bias
+    emissions = lambda w, bias, at: sum(w[row[at]].astype(np.float64) for row in f) + bias
     seq_start = np.zeros(len(y), dtype=bool)
     seq_start[tokens.first] = True
-    inner = np.flatnonzero(~seq_start)
-    pair = 2 * y[inner - 1].astype(int) + y[inner].astype(int)
-    have = np.bincount(pair, minlength=4).reshape(2, 2)
+    parts = tokens.cuts()
     m, v = np.zeros(size + 6), np.zeros(size + 6)
     for step in range(1, fit.passes + 1 if y.any() else 1):
-        a = np.exp(log_a)
-        fw, bw, x = _odds(emissions(w, bias), tokens.first, tokens.length, a, np.exp(start))
-        p = fw * bw / (1 + fw * bw)
-        r, q = fw[inner - 1], x[inner] * bw[inner]
-        cells = np.stack([np.full(len(r), a[0, 0]), a[0, 1] * q, r * a[1, 0], r * a[1, 1] * q])
-        want = (cells / cells.sum(axis=0)).sum(axis=1).reshape(2, 2)
-        gap = y - p
-        g = np.zeros(size)
-        for row in f:
-            g += np.bincount(row, weights=gap, minlength=size)
+        a, g, sums, trans = np.exp(log_a), np.zeros(size), np.zeros(2), np.zeros(4)
+        for at, sentences in parts:
+            first, inner = tokens.first[sentences] - at.start, np.flatnonzero(~seq_start[at])
+            fw, bw, x = _odds(emissions(w, bias, at), first, tokens.length[sentences], a, np.exp(start))
+            gap = y[at] - fw * bw / (1 + fw * bw)
+            r, q = fw[inner - 1], x[inner] * bw[inner]
+            cells = np.stack([np.full(len(r), a[0, 0]), a[0, 1] * q, r * a[1, 0], r * a[1, 1] * q])
+            have = np.bincount(2 * y[at][inner - 1].astype(int) + y[at][inner].astype(int), minlength=4)
+            trans += have - (cells / cells.sum(axis=0)).sum(axis=1)
+            for row in f:
+                g += np.bincount(row[at], weights=gap, minlength=size)
+            sums += gap.sum(), gap[first].sum()
         g -= fit.l2 * len(y) * w
         g[0] = 0
-        grad = np.concatenate([g, [gap.sum()], (have - want).ravel(), [gap[tokens.first].sum()]])
+        grad = np.concatenate([g, sums[:1], trans, sums[1:]])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w += move[:size]
@@ -211,7 +231,12 @@ def fit_chain(texts: list[str], toxic: np.ndarray, prior: float, fit: Fit = Fit(
         start += move[size + 5]
     chain = Chain(w.astype(np.float32), float(bias), np.exp(log_a), float(np.exp(start)), np.array([np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)), 0, 0, 0]))
     if y.any() and toxic.any() and not toxic.all():
-        s = summaries(marginals(chain, tokens), tokens.text, len(texts))
+        p = np.empty(len(y))
+        for at, sentences in parts:
+            e = emissions(chain.weights, chain.bias, at)
+            fw, bw, _ = _odds(e, tokens.first[sentences] - at.start, tokens.length[sentences], chain.trans, chain.start)
+            p[at] = fw * bw / (1 + fw * bw)
+        s = summaries(p, tokens.text, len(texts))
         weight = np.where(toxic, prior / toxic.mean(), (1 - prior) / (1 - toxic.mean()))
         chain.curve = _logistic(s, toxic, weight, chain.curve)
     return chain

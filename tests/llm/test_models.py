@@ -3,6 +3,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from storyloom.llm import kneser_ney, toxicity
 
 from .helpers import docs, near_copies, prose, words
@@ -112,3 +114,18 @@ def test_scores_of_repeated_ids_long_texts_and_clashing_columns(spark):
     got = sorted((r.doc_id, r.n_tokens) for r in out)
     assert got == [(1, 4), (1, 4), (2, 120_001), (3, 1), (3, 1)]
     assert len({r.score for r in out if r.doc_id == 1}) == 1 and len({r.score for r in out if r.doc_id == 3}) == 1
+
+
+def test_fit_in_runs_of_sentences(monkeypatch):
+    r = random.Random(8)
+    texts = ["", *(prose(r, r.choice([1, 30, 200])) + " vileword here. vileword" * (i % 3 == 0) for i in range(60))]
+    toxic = [False, *(i % 3 == 0 for i in range(60))]
+    fit = toxicity.Fit(passes=8)
+    want = toxicity.fit_chain(texts, toxic, 0.3, fit)
+    sizes, odds = [], toxicity._odds
+    monkeypatch.setattr(toxicity, "PART", 100)
+    monkeypatch.setattr(toxicity, "_odds", lambda e, *a: (sizes.append(len(e)), odds(e, *a))[1])
+    got = toxicity.fit_chain(texts, toxic, 0.3, fit)
+    assert max(sizes) < 500 and sum(sizes) > 9 * 1000
+    for x in ("weights", "bias", "trans", "start", "curve"):
+        assert np.abs(np.subtract(getattr(got, x), getattr(want, x))).max() < 1e-5
