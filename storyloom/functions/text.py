@@ -13,7 +13,7 @@ from .vocabulary import CLUSTER_STOP_WORDS, TRACKING_PARAMS
 
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 WORD_RUN = r"[\p{L}\p{N}_]{3,}"
-NUMBER = r"\b\d[\d,\.]*%?\b"
+NUMBER = r"(?=\d)\b\d[\d,\.]*%?\b"
 DATE = r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Sept|Oct|Nov|Dec)\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4}\b|\b\d{4}-\d{2}-\d{2}\b"
 #: A tag, comment end or declaration, with quoted values as a whole or, where a quote stays open, up to the next ">"; another "<" is text.
 TAG = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[a-zA-Z/!?][^>]*>"""
@@ -179,8 +179,9 @@ def numbers(text: Column) -> Column:
 
 
 def dates(text: Column) -> Column:
-    """Sorted distinct dates, spelled with a month's name or ISO."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(DATE), 0)))
+    """Sorted distinct dates, spelled with a month's name or ISO (B4). Each has four digits in a row, so texts without them are not searched for months."""
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(DATE), 0)))
+    return F.when(text.rlike(r"\d{4}"), found).otherwise(F.array().cast("array<string>"))
 
 
 def trim_words(text: Column, limit: int = 160) -> Column:

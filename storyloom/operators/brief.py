@@ -20,13 +20,14 @@ def excerpt(content: Column, summary: Column, title: Column, limit: int = MAX_CH
 def evidence_articles(members: DataFrame, articles: DataFrame, sources: DataFrame, most: int = MAX_ARTICLES) -> DataFrame:
     """The newest ``most`` articles of every cluster with excerpt, numbers, dates and lead.
 
-    ``row_number`` under a limit becomes a group limit before the shuffle, so a large cluster sends a few rows from each task.
+    ``row_number`` under a limit becomes a group limit before the shuffle, so a large cluster sends a few rows from each task. Contents are cut to their
+    excerpts before that.
     """
-    base = members.join(articles, "id").withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("published_us"), "id"))).where(F.col("rank") <= most)
-    named = base.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("publisher"), F.col("trust_level").alias("publisher_trust")), "source_id")
     summary = F.col("summary") if "summary" in articles.columns else F.lit(None).cast("string")
     url = F.col("canonical_url") if "canonical_url" in articles.columns else F.format_string("https://example.org/a/%d", "id")
-    out = named.withColumn("excerpt", excerpt(F.col("content"), summary, F.col("title"))).withColumn("canonical_url", url)
+    short = articles.select("id", "title", "source_id", "published_us", excerpt(F.col("content"), summary, F.col("title")).alias("excerpt"), url.alias("canonical_url"))
+    out = members.join(short, "id").withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("published_us"), "id"))).where(F.col("rank") <= most)
+    out = out.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("publisher"), F.col("trust_level").alias("publisher_trust")), "source_id")
     said = F.concat_ws(" ", "title", "excerpt")
     lead = F.trim(F.when(F.col("excerpt") == "", F.col("title")).otherwise(F.regexp_replace(F.substring_index("excerpt", ". ", 1), r"\.+\z", "")))
     return out.select("cluster_id", "rank", "id", "title", "excerpt", "source_id", "publisher", "publisher_trust", "published_us", "canonical_url", numbers(said).alias("numbers"), dates(said).alias("dates"), lead.alias("lead"))

@@ -9,7 +9,8 @@ from ..functions.text import any_contained, dates, numbers, plain_name
 from ..functions.vocabulary import ATTRIBUTION_MARKERS, DESK_TERMS, GUARD_STOP_WORDS
 
 _WORD = r"[A-Z][a-zA-Z'’\.]+"
-CANDIDATE = rf"\b({_WORD}(?:\s+(?:of|the|and|for|de|van|von)?\s*{_WORD}){{0,3}})\b"
+#: Of white space only blanks and tabs, so a candidate ends with its line. The capital is looked for first, as it is rarer than a word's bound.
+CANDIDATE = rf"(?=[A-Z])\b({_WORD}(?:[ \t]+(?:of|the|and|for|de|van|von)?[ \t]*{_WORD}){{0,3}})\b"
 QUOTE = "[\"“']([^\"”']{15,})[\"”']"
 URL = r"https?://[^\s\"'<>)\]]+"
 
@@ -26,8 +27,8 @@ def evidence_corpus(articles: Column, entities: Column, title: Column, names: Co
 
 
 def candidates(text: Column) -> Column:
-    """(form, said) of the proper-noun candidates of each line that are more than a stop word or desk term."""
-    found = F.flatten(F.transform(F.split(text, "[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), lambda line: F.regexp_extract_all(line, F.lit(CANDIDATE), 1)))
+    """(form, said) of the distinct proper-noun candidates of each line that are more than a stop word or desk term."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), 1))
     skip = F.array(*(F.lit(w) for w in (*GUARD_STOP_WORDS, *DESK_TERMS)))
     return F.filter(F.transform(found, lambda c: F.struct(plain_name(c).alias("form"), c.alias("said"))), lambda c: (c["form"] != "") & ~F.array_contains(skip, c["form"]))
 
@@ -65,8 +66,8 @@ def unsupported_urls(text: Column, urls: Column) -> Column:
 
 def lacks_attribution(text: Column, publishers: Column) -> Column:
     """No attribution marker and no publisher's name."""
-    low = F.lower(text)
-    return ~any_contained(low, ATTRIBUTION_MARKERS) & ~F.exists(F.filter(publishers, lambda p: p != ""), lambda p: F.contains(low, p))
+    named = lambda low: F.exists(F.filter(publishers, lambda p: p != ""), lambda p: F.contains(low, p))
+    return once(F.lower(text), lambda low: ~any_contained(low, ATTRIBUTION_MARKERS) & ~named(low))
 
 
 def check(drafts: DataFrame, bundle: DataFrame | None = None, text_col: str = "copy") -> DataFrame:

@@ -79,11 +79,11 @@ def _links(spark, art):
     return entities.article_entities(art.withColumn("summary", F.lit(None).cast("string")), entities.gazetteer(spark, EXTRA_NAMES))
 
 
-def scored(spark, sf_dir):
+def scored(spark, sf_dir, links=None):
     art = model.articles(spark, sf_dir)
     members = model.memberships(art)
     clusters = art.select(F.col("id").alias("cluster_id"), "title", "category").join(members.select("cluster_id").distinct(), "cluster_id", "left_semi")
-    mentions = entities.cluster_mentions(_links(spark, art), members).select("cluster_id", F.col("norm").alias("entity"))
+    mentions = entities.cluster_mentions(_links(spark, art) if links is None else links, members).select("cluster_id", F.col("norm").alias("entity"))
     return score.score_clusters(clusters, members, art, model.sources(spark, sf_dir), mentions, model.as_of(art)).select(*STORY_COLUMNS)
 
 

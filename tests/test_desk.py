@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -122,3 +124,13 @@ def test_quality_notes(spark):
     ]
     blank = quality.assess(guard.check(b.crossJoin(spark.createDataFrame([("", "")], "copy string, headline string")), b), "PACKAGE").first()
     assert blank.quality_notes[1:6] == ["factual_support: No generated text to evaluate.", "attribution: 0/2 publishers credited in copy", "completeness: No structural requirements.", "clarity: No sentences to evaluate.", "headline_quality: No headline."]
+
+
+def test_texts_of_drafts_are_lowered_once_and_candidates_said_once(spark):
+    df = spark.createDataFrame([("Ann Lee of Oslo\nBob Ray met Jo.\nAnn Lee of Oslo. the\tAnn\nAnn Lee of Oslo",)], "text string")
+    low = df.select(guard.lacks_attribution(F.col("text"), F.array(F.lit("oslo"))).alias("x"))
+    assert low._jdf.queryExecution().analyzed().toString().lower().count("lower(") == 1 and low.first().x is False
+    # what each line has by itself, and each candidate once
+    by_line = [m for line in df.first().text.split("\n") for m in re.findall(rf"\b({guard._WORD}(?:\s+(?:of|the|and|for|de|van|von)?\s*{guard._WORD}){{0,3}})\b", line)]
+    said = [c.said for c in df.select(guard.candidates(F.col("text")).alias("c")).first().c]
+    assert said == list(dict.fromkeys(by_line)) and len(said) < len(by_line)
