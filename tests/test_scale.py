@@ -85,3 +85,17 @@ def test_texts_are_measured_before_the_join(spark):
 @pytest.mark.parametrize("query", [story_queries.state_transitions, desk_queries.package_flags])
 def test_shared_steps_are_stored(spark, query):
     assert "Join" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_slice_of_the_ordered_pass_reads_its_own_folder(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from storyloom.operators import cluster
+
+    paths, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *p, **o: (paths.extend(p), parquet(self, *p, **o))[1])
+    rows = [(i, "quake hits harbor town", "world", i * 13 * 3_600_000_000) for i in range(4)]
+    got = {r["id"]: r["cluster_id"] for r in cluster.greedy_clusters(spark.createDataFrame(rows, "id long, title string, category string, published_us long")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0}
+    of = lambda name: [p.split(f"/clusters-{name}-")[1].partition("/")[2] for p in paths if f"/clusters-{name}-" in p]
+    assert of("sliced") == [f"k={k}" for k in range(4)] and sorted(of("reach")) == ["", *(f"k={k}" for k in range(4))]
