@@ -327,15 +327,19 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 def drop_toxic(docs: DataFrame, chain: Chain, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores under ``least``, each judged where it is read: neither rows nor texts are shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
-    (said,) = unused(docs, "said")
-    rows = docs.withColumn(said, F.col(text_col).cast("string"))
+    # a text is sent once: a column of another type is cast beside the others, and what stays leaves piece by piece
+    plain = docs.schema[text_col].dataType.simpleString() == "string"
+    (said,) = [text_col] if plain else unused(docs, "said")
+    rows = docs if plain else docs.withColumn(said, F.col(text_col).cast("string"))
+    at = rows.columns.index(said)
 
     def kept(batches):
         tagged = _tagged(shared, False)
         for batch in batches:
-            texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(batch.num_columns - 1)], names=["id", "text"])
-            scores = [x.column(1).to_numpy() for x in tagged([texts])]
-            few = batch.select(range(batch.num_columns - 1))
-            yield few.filter(pa.array(np.concatenate(scores) < least)) if scores else few
+            texts = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(at)], names=["id", "text"])
+            few, first = batch if plain else batch.select(range(at)), 0
+            for x in tagged([texts]):
+                yield few.slice(first, x.num_rows).filter(pa.array(x.column(1).to_numpy() < least))
+                first += x.num_rows
 
     return rows.mapInArrow(kept, docs.schema)
