@@ -329,3 +329,32 @@ def test_shared_words_and_cut_distances_of_many_pairs(monkeypatch):
     columns.clear()
     assert min(L.edit_distances(pairs[:40], most[:40])) > 140 and max(columns) < 600
     assert L.TILE <= 512
+
+
+def test_unlike_lines_of_a_bucket_are_dropped_before_their_texts_are_read(spark, monkeypatch):
+    """Lines that have two long words and few others in common share a bucket; their sketches show it, so no text of theirs is read again."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    unlike = ["unmistakable circumstances " + " ".join(word() for _ in range(12)) for _ in range(80)]
+    like = prose(r, 30)
+    rows = list(enumerate([*unlike, like, like + " ende"]))
+    read = []
+    real = L.Scratch.put
+    monkeypatch.setattr(L.Scratch, "put", lambda self, df, name: (out := real(self, df, name), read.append(out.count()) if name.endswith("-said") else None)[0])
+    for small in (1_000, 0):
+        monkeypatch.setattr(L, "SMALL_BUCKET", small)
+        read.clear()
+        got = {x.id: x.group for x in L.line_groups(docs(spark, rows)).collect()}
+        assert got[80] == got[81] and len(set(got.values())) == 81 and sum(read) <= 40
+
+
+def test_parity_of_words_drops_no_pair_that_shares_half_of_them():
+    r, rule = random.Random(5), L.LineRule()
+    lines = [" ".join(r.choice(("a", "b", "cc", "ddd", "eee", "f", "gg", "hh", "ii")) for _ in range(r.randrange(5, 60))) for _ in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array(lines), pa.array(range(120))], names=["id", "text", "fp"])
+    rows = [x for b in L._lines(rule)([batch]) for x in b.to_pylist()]
+    for x, u in zip(rows, lines, strict=True):
+        assert x["words"] == len(u.split())
+        for y, v in zip(rows, lines, strict=True):
+            if L.share_words(L.bag(u), L.bag(v), rule.shared_percent):
+                assert ((x["odd"] ^ y["odd"]) & (1 << 64) - 1).bit_count() <= x["words"] + y["words"] - 2 * -(-max(x["words"], y["words"]) * rule.shared_percent // 100)
