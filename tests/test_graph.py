@@ -68,3 +68,20 @@ def test_join_hot_equals_a_left_join(spark):
     want = sorted(map(str, rows.join(table, ["k"], "left").collect()))
     for hot in (7, 55):
         assert sorted(map(str, graph.join_hot(rows, table, ["k"], spark.createDataFrame([(hot,)], "k long")).collect())) == want
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """What was shuffled goes when the table is written, not with the driver's next garbage collection; the session's setting stays as it was."""
+    import time
+
+    from storyloom.operators import graph
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (blocks.getAllFiles().apply(i).getName() for i in range(blocks.getAllFiles().size())) if f.startswith("shuffle_")}
+    before = files()
+    out = graph.stored(spark.range(10_000).repartition(7).groupBy((graph.F.col("id") % 97).alias("k")).count(), "shuffled")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and out.count() == 97 and spark.conf.get(graph.SHUFFLE_CLEANUP) == "false"
