@@ -358,3 +358,34 @@ def test_parity_of_words_drops_no_pair_that_shares_half_of_them():
         for y, v in zip(rows, lines, strict=True):
             if L.share_words(L.bag(u), L.bag(v), rule.shared_percent):
                 assert ((x["odd"] ^ y["odd"]) & (1 << 64) - 1).bit_count() <= x["words"] + y["words"] - 2 * -(-max(x["words"], y["words"]) * rule.shared_percent // 100)
+
+
+def test_keys_texts_and_pairs_go_in_turns(spark, monkeypatch):
+    """No table holds the keys of all lines, and texts and pairs that go in turns give the same groups."""
+    r = random.Random(41)
+    base = [prose(r, 20) for _ in range(5)]
+    rows = [(i, " ".join(changed_line(r, base[i % 5].split(" "), "letter", 4))) for i in range(40)] + [(100 + i, prose(r, 8 + i)) for i in range(20)]
+    put, real = [], L.Scratch.put
+    monkeypatch.setattr(L.Scratch, "put", lambda self, df, name: (out := real(self, df, name), put.append((name, out.count())))[0])
+    want = {x.id: x.group for x in L.line_groups(docs(spark, rows)).collect()}
+    buckets = [n for name, n in put if name == "buckets"]
+    assert len(buckets) == L.PASSES and max(buckets) < 0.6 * sum(buckets)
+    monkeypatch.setattr(L, "LIGHT", 0)
+    monkeypatch.setattr(L, "TURN_PAIRS", 1)
+    for small in (1_000, 0):
+        monkeypatch.setattr(L, "SMALL_BUCKET", small)
+        put.clear()
+        assert {x.id: x.group for x in L.line_groups(docs(spark, rows)).collect()} == want
+        assert [name for name, _ in put].count("first-said") == L.PASSES
+
+
+def test_lines_of_a_large_bucket_meet_only_lines_of_about_their_length(spark, monkeypatch):
+    """Each line is copied into the tiles of its class of lengths and the next ones, not into those of all parts of its bucket."""
+    monkeypatch.setattr(L, "TILE", 4)
+    lines = [(7, 8 * i + j, 3 ** (i + 3) + j, 0, 0, 0, 10) for i in range(6) for j in range(8)]
+    large = spark.createDataFrame(lines, "bucket long, key long, chars int, s1 long, s2 long, odd long, words int")
+    labels = spark.createDataFrame([], "id long, component long")
+    monkeypatch.setattr(L, "_near", lambda rule, x, y: (F.lit(True), F.lit(0).alias("apart")))
+    got = {(x.a, x.b) for x in L._tiled(large, labels, L.LineRule()).collect()}
+    assert got >= {(a[1], b[1]) for a in lines for b in lines if a[1] < b[1] and min(a[2], b[2]) * 100 >= max(a[2], b[2]) * 80}
+    assert len(got) < 400  # 1,128 where every two lines of the bucket meet
