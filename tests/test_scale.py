@@ -99,3 +99,32 @@ def test_a_slice_of_the_ordered_pass_reads_its_own_folder(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0}
     of = lambda name: [p.split(f"/clusters-{name}-")[1].partition("/")[2] for p in paths if f"/clusters-{name}-" in p]
     assert of("sliced") == [f"k={k}" for k in range(4)] and sorted(of("reach")) == ["", *(f"k={k}" for k in range(4))]
+
+
+def test_sets_that_share_only_their_last_tokens_are_no_candidates(spark, monkeypatch):
+    """Sets of six tokens of their own and four common ones share keys, but too late in their order to be similar; two similar sets are found."""
+    from storyloom.operators import dedup
+
+    rows = [(i, sorted([f"own{i}{x}" for x in "abcdef"] + ["common", "frequent", "ordinary", "usual"])) for i in range(20)]
+    rows.append((50, sorted([*(t for t in rows[0][1] if t != "own0a"), "other"])))
+    seen, verified = [], dedup.verified
+    monkeypatch.setattr(dedup, "verified", lambda pairs, *a: (seen.append(pairs), verified(pairs, *a))[1])
+    got = dedup.token_set_pairs(spark.createDataFrame(rows, "set_id long, tokens array<string>"), 35, guard=True).collect()
+    assert [(x.a, x.b, x.n_both, x.n_either) for x in got] == [(0, 50, 9, 11)] and seen[0].count() == 1
+
+
+def test_similar_sets_are_tied_by_slices_that_have_articles(spark):
+    """A title that lives in many slices is not multiplied by all titles like it: those that have an article in the slice are looked up."""
+    from storyloom.operators import cluster
+    from storyloom.operators.graph import Scratch
+
+    hour, scratch, n, seen = cluster.HOUR, Scratch(spark, "reach"), 30, {}
+    put = scratch.put
+    scratch.put = lambda df, name: seen.setdefault(name, put(df, name))
+    cells = spark.createDataFrame([(0, "world", k) for k in range(n)] + [(i, "world", i) for i in range(1, n)], "set_id long, category string, k long")
+    near = spark.createDataFrame([(0, i) for i in range(1, n)] + [(i, 0) for i in range(1, n)] + [(i, i) for i in range(n)], "a long, b long")
+    out = cluster._reach(cells, cells.limit(0), near, scratch, 12 * hour, 48 * hour)
+    assert out.select("k", "component").distinct().count() == n
+    # similar sets by the slices of the second one, not (0, b) for each of the thirty slices of 0
+    assert seen["met"].count() == (n - 1) + (n - 1) * n + n + (n - 1)
+    scratch.close()
